@@ -126,6 +126,11 @@ def normal_words(text: Column) -> Column:
     return F.regexp_replace(t, r"\b(\d+) \(\1\)", "$1")
 
 
+def _groups(form: str, n: int) -> Column:
+    """The groups of the first match in column __t, all empty without a match; the pattern runs twice, not once for each group."""
+    return F.split(F.regexp_replace(F.regexp_extract("__t", form, 0), form, "|".join(f"${i + 1}" for i in range(n))), r"\|", n)
+
+
 def read_rate(df: DataFrame, text: str) -> DataFrame:
     """df with services, spans BIGINT and span STRING read from a limit's wording; null where it states no number per span.
 
@@ -135,16 +140,17 @@ def read_rate(df: DataFrame, text: str) -> DataFrame:
     spans = _map({w: unit for unit, ws in SPAN_WORDS.items() for w in ws.split()})
     adverb_n, adverb_unit = _map({k: str(n) for k, (n, _) in ADVERBS.items()}), _map({k: u for k, (_, u) in ADVERBS.items()})
     df = df.withColumn("__t", normal_words(F.col(text)))
-    got = {f"__{n}": F.regexp_extract("__t", COUNTED, i) for n, i in (("c", 1), ("n", 2), ("u", 3), ("pa", 4), ("av", 5))}
-    got |= {f"__s{n}": F.regexp_extract("__t", SPANNED, i) for n, i in (("n", 1), ("u", 2), ("av", 3))}
+    df = df.withColumns({"__m": _groups(COUNTED, 5), "__sm": _groups(SPANNED, 3)})
+    got = {f"__{n}": F.get(F.col("__m"), F.lit(i)) for i, n in enumerate(("c", "n", "u", "pa", "av"))}
+    got |= {f"__s{n}": F.get(F.col("__sm"), F.lit(i)) for i, n in enumerate(("n", "u", "av"))}
     df = df.withColumns(got)
     adverb = F.regexp_replace(F.concat(F.when(F.col("__c") != "", F.concat("__pa", "__av")).otherwise(F.col("__sav"))), r"[ .-]", "")
     df = df.withColumn("__adv", adverb)
-    counted = F.col("__c") != ""
+    counted = F.coalesce(F.col("__c"), F.lit("")) != ""
     unit = F.coalesce(F.try_element_at(adverb_unit, F.col("__adv")), F.try_element_at(spans, F.when(counted, F.col("__u")).otherwise(F.col("__su"))))
     number = F.coalesce(F.try_element_at(adverb_n, F.col("__adv")), F.when(counted, F.nullif(F.col("__n"), F.lit(""))).otherwise(F.nullif(F.col("__sn"), F.lit(""))), F.lit("1"))
     df = df.withColumns({"services": F.when(unit.isNotNull(), F.when(counted, F.try_to_number("__c", F.lit("999999999"))).otherwise(F.lit(1))).cast("bigint"), "spans": F.try_to_number(number, F.lit("999999999")).cast("bigint"), "span": unit})
-    return df.drop("__t", "__adv", *got)
+    return df.drop("__t", "__m", "__sm", "__adv", *got)
 
 
 #: What a money unit's spelling means.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.functions.tables import table
-from docfacts.operators import nested, units
+from docfacts.operators import drift, nested, units
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,4 +26,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return both.distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nodes, p4_found)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "extraction_report"), table(spark, d, "guide_cells"))
+
+
+def p5_cells(spark: SparkSession, d: str) -> DataFrame:
+    return drift.united(table(spark, d, "extraction_report"), table(spark, d, "guide_cells"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nodes, p4_found, p5_found, p5_cells)}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docfacts.functions.tables import table
-from docfacts.llm import format_copies, forced_bpe
+from docfacts.llm import canon_map, forced_bpe, format_copies
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +21,14 @@ def p1_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("guide_id", "keep_id", "n_copies")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = table(spark, d, "benefit_rows").where("benefit_group NOT IN ('', '-')").select(F.lit("group").alias("src"), F.col("row_id").alias("record_id"), F.col("benefit_group").alias("entered"))
+    labels = table(spark, d, "extraction_report").select(F.lit("column").alias("src"), F.col("report_id").alias("record_id"), F.explode("columns_unmapped").alias("entered"))
+    return canon_map.map_records(groups.union(labels), table(spark, d, "canon_terms"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return forced_bpe.encode_column(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p7_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p3_found, p7_ids)}

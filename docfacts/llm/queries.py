@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.functions.tables import table
-from docfacts.llm import canon_map, forced_bpe, format_copies
+from docfacts.llm import canon_map, eval_leak, forced_bpe, format_copies, one_form
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +27,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return canon_map.map_records(groups.union(labels), table(spark, d, "canon_terms"))
 
 
+def _odd_texts(spark: SparkSession, d: str) -> DataFrame:
+    descriptions = table(spark, d, "benefit_rows").select(F.lit("description").alias("src"), F.col("guide_id").cast("string").alias("grp"), F.col("row_id").alias("id"), F.col("description").alias("text"))
+    quotes = table(spark, d, "premium_fields").select(F.lit("quote").alias("src"), F.col("plan_key").alias("grp"), F.col("premium_id").alias("id"), F.col("evidence_quote").alias("text"))
+    return descriptions.union(quotes)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return one_form.lookalikes(_odd_texts(spark, d))
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return one_form.forms(_odd_texts(spark, d)).select("src", "id", "form")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return forced_bpe.encode_column(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p3_found, p7_ids)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leak.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p3_found, p6_found, p6_forms, p7_ids, p8_found, p8_leaks)}

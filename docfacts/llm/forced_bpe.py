@@ -27,8 +27,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHE_ENTRIES, CACHE_BYTES = 400_000, 48
 #: Bytes of text handled at once inside a batch.
 BLOCK_BYTES = 4_000_000
-#: UTF-8 forms of the white space outside ASCII.
-WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: Last UTF-8 bytes of the white space outside ASCII. No cut is made after any character that ends like these.
+WIDE_SPACE_ENDS = sorted({chr(c).encode()[-1] for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)})
 
 
 class Fragments(dict):
@@ -61,7 +61,7 @@ class Encoder:
             self.forced[list(token[:-1]), list(token[1:])] = False
         self.forced[:, 0x80:0xC0] = False  # inside a character
         self.forced[:, ord("'")] = False
-        self.forced[[*range(9, 14), *range(28, 33)], :] = False
+        self.forced[[*range(9, 14), *range(28, 33), *WIDE_SPACE_ENDS], :] = False
         self.forced = self.forced.ravel()
         self.cache = Fragments(self)
 
@@ -70,21 +70,10 @@ class Encoder:
         if len(data) < 2:
             return np.empty(0, np.int64)
         pair = data[:-1].astype(np.uint16) * np.uint16(256) + data[1:]
-        at = np.flatnonzero(self.forced[pair]) + 1
-        wide = data[at - 1] >= 0x80
-        if wide.any():
-            w = at[wide]
-            bad = np.zeros(len(w), bool)
-            for space in WIDE_SPACE:
-                hit = w >= len(space)
-                for k, byte in enumerate(reversed(space), 1):
-                    hit &= data[np.maximum(w - k, 0)] == byte
-                bad |= hit
-            at = np.delete(at, np.flatnonzero(wide)[bad])
-        return at
+        return np.flatnonzero(self.forced[pair]) + 1
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts data[offsets[i]:offsets[i + 1]], one after the other, and where each text's ids begin."""
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of each fragment, the fragments' edges, number of ids before each edge, number of each text's first edge)."""
         base = offsets[0]
         data, offsets = data[base : offsets[-1]], offsets.astype(np.int64) - base
         edge = np.zeros(len(data) + 1, bool)
@@ -93,10 +82,14 @@ class Encoder:
         raw = data.tobytes()
         fragments = [raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         found = list(map(self.cache.__getitem__, fragments))
-        ids = np.frombuffer(b"".join(found), np.int32)
-        ends = np.zeros(len(edges), np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=ends[1:])
-        return ids, ends[np.searchsorted(edges, offsets)]
+        before = np.zeros(len(edges), np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, out=before[1:])
+        return found, edges, before, np.searchsorted(edges, offsets)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[offsets[i]:offsets[i + 1]], one after the other, and where each text's ids begin."""
+        found, _, before, first = self.split(data, offsets)
+        return np.frombuffer(b"".join(found), np.int32), before[first]
 
     def count(self, text: str) -> int:
         """Number of ids of one text."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.functions.tables import table
-from docfacts.llm import canon_map, eval_leak, forced_bpe, format_copies, one_form
+from docfacts.llm import canon_map, eval_leak, forced_bpe, format_copies, natural_cuts, one_form
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,4 +53,8 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return eval_leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p3_found, p6_found, p6_forms, p7_ids, p8_found, p8_leaks)}
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return natural_cuts.cut(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p3_found, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p9_pieces)}

@@ -71,16 +71,23 @@ def regex_scan(text: Column, pattern: str) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["found"])
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: expressions inside lists are otherwise evaluated wherever they are named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def locate(flat: Column, quote: Column, window_start: Column, window_end: Column) -> Column:
     """STRUCT<start, end> of a quote's first place wholly inside the window, else of its first place anywhere, else null.
 
     The quote is collapsed first; its compatibility forms must be composed already (see nfkc), so that this works inside lists.
     """
-    needle = collapse(quote, compose=False)
-    inside = F.instr(F.substring(flat, window_start + 1, window_end - window_start), needle)
-    anywhere = F.instr(flat, needle)
-    at = F.when(inside > 0, window_start + inside - 1).when(anywhere > 0, anywhere - 1)
-    return F.when(F.char_length(needle) > 0, F.when(at.isNotNull(), F.struct(at.cast("int").alias("start"), (at + F.char_length(needle)).cast("int").alias("end"))))
+
+    def place(needle: Column) -> Column:
+        inside = F.instr(F.substring(flat, window_start + 1, window_end - window_start), needle)
+        at = let(inside, lambda i: F.when(i > 0, window_start + i).otherwise(F.instr(flat, needle)))
+        return let(at, lambda i: F.when((i > 0) & (needle != ""), F.struct((i - 1).cast("int").alias("start"), (i - 1 + F.char_length(needle)).cast("int").alias("end"))))
+
+    return let(collapse(quote, compose=False), place)
 
 
 def flat_offset(text: Column, at: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfacts.functions.tables import durable
 from docfacts.operators.readers import CODE_TOKEN, HEADER_TOKENS
 
 #: Points of a line's tolerance, of a gap between columns, of a cell over several rows; the page's margins.
@@ -61,9 +62,9 @@ def bands(lines_: DataFrame, body: DataFrame, frames: DataFrame) -> DataFrame:
     """(doc_id, page, band INT, lo, hi): the page's columns, cut in the middle of the gaps of GAP points or more that no word of data or header crosses.
 
     Gaps are those between the union of the words' intervals (gaps and islands); the space left of all words is no gap."""
-    data = body.where("NOT heading AND NOT furniture").select(*PAGE, "width", F.explode("words").alias("w"))
-    head = lines_.join(frames.select(*PAGE, "width", F.col("header_line").alias("line")), [*PAGE, "line"]).select(*PAGE, "width", F.explode("words").alias("w"))
-    iv = data.unionByName(head).select(*PAGE, "width", F.floor("w.x0").alias("a"), F.least(F.floor("w.x1") + 1, F.floor("width")).alias("b")).where("a < b")
+    data = body.where("NOT heading AND NOT furniture").select(*PAGE, "width", F.explode("words").alias("__w"))
+    head = lines_.join(frames.select(*PAGE, "width", F.col("header_line").alias("line")), [*PAGE, "line"]).select(*PAGE, "width", F.explode("words").alias("__w"))
+    iv = data.unionByName(head).select(*PAGE, "width", F.floor("__w.x0").alias("a"), F.least(F.floor("__w.x1") + 1, F.floor("width")).alias("b")).where("a < b")
     before = Window.partitionBy(*PAGE).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     gaps = iv.withColumn("reach", F.max("b").over(before)).where(F.col("a") - F.col("reach") >= GAP)
     cuts = gaps.select(*PAGE, "width", ((F.col("reach") + F.col("a")) / 2).alias("cut"))
@@ -85,7 +86,7 @@ def labels(lines_: DataFrame, frames: DataFrame, bands_: DataFrame) -> DataFrame
     nth = Window.partitionBy(*PAGE).orderBy("line")
     near = lines_.withColumns({"prev": F.lag("line").over(nth), "next": F.lead("line").over(nth)}).join(heads, PAGE)
     stacked = ((F.col("next") == F.col("header_line")) | (F.col("prev") == F.col("header_line"))) & F.col("pure") & (F.size("words") <= HEADER_WORDS) & (F.abs(F.col("top") - F.col("header_top")) < STACKED)
-    used = near.where((F.col("line") == F.col("header_line")) | F.coalesce(stacked, F.lit(False))).select(*PAGE, F.explode("words").alias("w")).select(*PAGE, "w.*")
+    used = near.where((F.col("line") == F.col("header_line")) | F.coalesce(stacked, F.lit(False))).select(*PAGE, F.explode("words").alias("__w")).select(*PAGE, "__w.*")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.bround("top", 0).alias("t"), "x0", "seq", "text"))), lambda w: w["text"]), " ")
     per = words_in_bands(used, bands_).groupBy(*PAGE, "band").agg(text.alias("label"))
     return bands_.join(per, [*PAGE, "band"], "left").groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("band", F.coalesce("label", F.lit("")).alias("label")))), lambda x: x["label"]).alias("labels"))
@@ -120,7 +121,7 @@ def nearest_code_line(body: DataFrame) -> DataFrame:
 def bind_rows(body: DataFrame, bands_: DataFrame) -> DataFrame:
     """(doc_id, page, y, grp, cells ARRAY<STRING>): one row for each code line, with the words of its wrapped lines, by band; grp is the heading above on the page."""
     anchors = nearest_code_line(body)
-    words = body.select(*PAGE, "line", F.explode("words").alias("w")).select(*PAGE, "line", "w.*").join(anchors, [*PAGE, "line"])
+    words = body.select(*PAGE, "line", F.explode("words").alias("__w")).select(*PAGE, "line", "__w.*").join(anchors, [*PAGE, "line"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x0", "seq", "text"))), lambda w: w["text"]), " ")
     cells = words_in_bands(words, bands_).groupBy(*PAGE, "anchor", "band").agg(text.alias("cell"))
     run = Window.partitionBy(*PAGE).orderBy("top", "line").rowsBetween(Window.unboundedPreceding, 0)
@@ -151,10 +152,10 @@ def read_words(words: DataFrame, sizes: DataFrame, rects: DataFrame | None = Non
     """Raw rows (see readers) of the unruled tables of pages; pages without words or codes give none.
 
     sizes: doc_id, page, width, height. A group and the fullest labels carry over the pages of a document."""
-    lines_ = lines(words.where("text IS NOT NULL AND text <> ''"))
-    frames = page_frames(lines_, sizes)
-    body = body_lines(lines_, frames)
-    bands_ = bands(lines_, body, frames)
+    lines_ = durable(lines(words.where("text IS NOT NULL AND text <> ''")))
+    frames = durable(page_frames(lines_, sizes))
+    body = durable(body_lines(lines_, frames))
+    bands_ = durable(bands(lines_, body, frames))
     rows = bind_rows(body, bands_)
     if rects is not None:
         rows = spread_merged_cells(rows, rects, words, bands_)

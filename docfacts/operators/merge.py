@@ -28,8 +28,7 @@ def coerce(value: Column, allowed: list[str], otherwise: Column) -> Column:
 
 def evidence(quote: Column) -> Column:
     """A quote's place inside the package, else anywhere in the document, with its page; null if it isn't in the source."""
-    at = X.locate(F.col("doc_flat"), quote, F.col("start"), F.col("end"))
-    return F.when(quote.isNotNull() & at.isNotNull(), F.struct(X.collapse(quote, compose=False).alias("quote"), at["start"].alias("start"), at["end"].alias("end"), X.page_at(F.col("page_starts"), at["start"]).alias("page")))
+    return X.let(X.locate(F.col("doc_flat"), quote, F.col("start"), F.col("end")), lambda at: F.when(at.isNotNull(), F.struct(X.collapse(quote, compose=False).alias("quote"), at["start"].alias("start"), at["end"].alias("end"), X.page_at(F.col("page_starts"), at["start"]).alias("page"))))
 
 
 def cut_off(ev: Column) -> Column:
@@ -93,33 +92,38 @@ def merge(docs: DataFrame, blocks: DataFrame, candidates: DataFrame, replies: Da
     )
     named = F.transform(F.filter(F.array(*[F.lit(x) for x in ("dental", "hearing", "vision")]), lambda d: F.contains(F.lower(F.coalesce("heading", F.lit(""))), d)), lambda d: d)
     told = F.array_sort(F.array_distinct(F.transform(_list("benefit_domains", "string"), lambda d: F.lower(d))))
-    all_codes = F.filter("cands", lambda c: c["kind"] == "code")
-    first_codes = F.filter(F.transform(all_codes, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: F.array_position(F.transform(all_codes, lambda y: y["code"]), x["c"]["code"]) == x["i"] + 1)
-    codes = F.transform(first_codes, lambda x: F.struct(x["c"]["code"].alias("code"), F.nullif(x["c"]["description"], F.lit("")).alias("description"), evidence(x["c"]["quote"]).alias("evidence")))
+    df = df.withColumn("all_codes", F.filter("cands", lambda c: c["kind"] == "code"))
+    df = df.withColumn("code_names", F.transform("all_codes", lambda y: y["code"]))
+    first_codes = F.filter(F.transform("all_codes", lambda c, i: F.struct(c["code"].alias("code"), c["description"].alias("description"), c["quote"].alias("quote"), i.alias("i"))), lambda x: F.array_position(F.col("code_names"), x["code"]) == x["i"] + 1)
+    codes = F.transform(first_codes, lambda x: F.struct(x["code"].alias("code"), F.nullif(x["description"], F.lit("")).alias("description"), evidence(x["quote"]).alias("evidence")))
     df = df.withColumns({"name": name, "premium": amount("p", "p_ev", "monthly"), "benefit_maximum": amount("m", "m_ev", "per_year"), "network": network, "domains": F.when(F.size(told) > 0, told).otherwise(named), "codes": codes})
-    declared = F.transform("codes", lambda c: c["code"])
-    limits = F.filter("cands", lambda c: c["kind"] == "limit")
-
-    def service(s: Column) -> Column:
-        ev = s["ev"]
-        x = s["s"]
-        match = F.try_element_at(F.filter(limits, lambda c: (c["c_start"] < ev["end"]) & (ev["start"] < c["c_end"])), F.lit(1))
-        matched = match.isNotNull()
-        kept = x["limit_count"].isNull() | F.array_contains(X.amounts(ev["quote"]), x["limit_count"]) | F.contains(ev["quote"], F.floor(x["limit_count"]).cast("string"))
+    df = df.withColumns({"declared": F.transform("codes", lambda c: c["code"]), "limits": F.filter("cands", lambda c: c["kind"] == "limit")})
+    no_codes = F.array().cast("array<string>")
+
+    def matched_service(s: Column) -> Column:
+        def with_limit(ev: Column) -> Column:
+            match = F.try_element_at(F.filter("limits", lambda c: (c["c_start"] < ev["end"]) & (ev["start"] < c["c_end"])), F.lit(1))
+            kept = s["limit_count"].isNull() | F.array_contains(X.amounts(ev["quote"]), s["limit_count"]) | F.contains(ev["quote"], F.floor(s["limit_count"]).cast("string"))
+            told = F.coalesce(s["codes"], no_codes)
+            return F.struct(s.alias("s"), ev.alias("ev"), match.alias("m"), kept.alias("kept"), F.filter(told, lambda c: F.array_contains(F.col("declared"), c)).alias("own"), F.filter(told, lambda c: ~F.array_contains(F.col("declared"), c)).alias("dropped"), cut_off(ev).alias("cut"))
+
+        return X.let(evidence(s["evidence_quote"]), with_limit)
+
+    def service(y: Column) -> Column:
+        x, ev, match, there, matched, kept = y["s"], y["ev"], y["m"], y["ev"].isNotNull(), y["m"].isNotNull(), y["kept"]
         note = F.when(matched & (x["limit_count"] != match["count"]), "the scanner read another count from the same phrase").when(~matched & ~kept, "the count was not in the evidence and was dropped")
-        dropped = F.filter(F.coalesce(x["codes"], F.array().cast("array<string>")), lambda c: ~F.array_contains(declared, c))
-        own = F.filter(F.coalesce(x["codes"], F.array().cast("array<string>")), lambda c: F.array_contains(declared, c))
-        there = ev.isNotNull()
         return F.struct(
             F.concat("block_id", F.lit(".svc_"), X.slug(x["name"])).alias("service_id"), x["name"].alias("name"), F.when(there, coerce(x["category"], CATEGORIES, F.lit("other"))).alias("category"),
             F.when(there, F.when(matched, match["count"]).when(kept, x["limit_count"])).alias("limit_count"), F.when(there, F.when(matched, match["unit"]).otherwise(x["limit_unit"])).alias("limit_unit"),
             F.when(there, F.when(matched, match["span"]).otherwise(coerce(x["limit_period"], PERIODS, F.lit(None).cast("string")))).alias("limit_period"), F.when(there, F.when(matched, X.collapse(match["quote"], compose=False)).otherwise(x["limit_raw"])).alias("limit_raw"),
-            F.when(there, own).otherwise(F.array().cast("array<string>")).alias("codes"), F.when(there, dropped).otherwise(F.array().cast("array<string>")).alias("dropped_codes"),
-            F.when(~there, "unverified").when(cut_off(ev) & F.coalesce(F.col("reply.truncated"), F.lit(False)), "truncated").otherwise("found").alias("status"),
+            F.when(there, y["own"]).otherwise(no_codes).alias("codes"), F.when(there, y["dropped"]).otherwise(no_codes).alias("dropped_codes"),
+            F.when(~there, "unverified").when(y["cut"] & F.coalesce(F.col("reply.truncated"), F.lit(False)), "truncated").otherwise("found").alias("status"),
             F.when(~there, 0.0).when(note.isNull(), 0.9).otherwise(0.8).alias("confidence"), F.when(~there, "llm").when(note.isNull(), "merged").otherwise("llm").alias("source"), ev.alias("evidence"), F.when(there, note).otherwise("the quote is not in the source").alias("notes"),
         )
 
-    df = df.withColumn("services", F.transform(F.transform(_list("services", model.SERVICE), lambda s: F.struct(s.alias("s"), evidence(s["evidence_quote"]).alias("ev"))), service))
+    df = df.withColumn("matched", F.transform(_list("services", model.SERVICE), matched_service)).withColumn("services", F.transform("matched", service))
+    words = lambda s: F.filter(F.split(F.lower(s["name"]), r"\W+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
+    df = df.withColumn("known", F.transform(F.filter("services", lambda s: s["status"] == "found"), lambda s: F.struct(s["service_id"].alias("id"), F.lower(s["name"]).alias("name"), F.coalesce(s["category"].isin("preventive", "diagnostic"), F.lit(False)).alias("early"), F.transform(words(s), lambda t: F.regexp_replace(t, "s+$", "")).alias("words"))))
     df = df.withColumns({
         "scanned": F.transform(F.filter("cands", lambda c: c["kind"] == "cost_share"), lambda c: F.struct(c.alias("c"), evidence(c["quote"]).alias("ev"))),
         "told": F.filter(F.transform(_list("cost_share", model.COST_SHARE), lambda s: F.struct(s.alias("s"), evidence(s["evidence_quote"]).alias("ev"))), lambda x: x["ev"].isNotNull()),
@@ -134,10 +138,11 @@ def merge(docs: DataFrame, blocks: DataFrame, candidates: DataFrame, replies: Da
     df = df.withColumn("pairs", F.aggregate("scanned", start, pair))
 
     def services_of(text: Column) -> Column:
-        low = F.lower(X.collapse(text, compose=False))
-        words = lambda s: F.filter(F.split(F.lower(s["name"]), r"\W+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
-        hit = lambda s: (s["status"] == "found") & (F.contains(low, F.lower(s["name"])) | ((F.size(words(s)) > 0) & F.forall(words(s), lambda t: F.contains(low, F.regexp_replace(t, "s+$", "")))) | (F.contains(low, F.lit("preventive")) & F.coalesce(s["category"].isin("preventive", "diagnostic"), F.lit(False))))
-        return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(F.filter("services", hit), lambda s: s["service_id"]))))
+        def ids(low: Column) -> Column:
+            hit = lambda s: F.contains(low, s["name"]) | ((F.size(s["words"]) > 0) & F.forall(s["words"], lambda t: F.contains(low, t))) | (F.contains(low, F.lit("preventive")) & s["early"])
+            return F.array_sort(F.array_distinct(F.transform(F.filter("known", hit), lambda s: s["id"])))
+
+        return F.when(text.isNull(), no_codes).otherwise(X.let(F.lower(X.collapse(text, compose=False)), ids))
 
     def scanned_share(x: Column, i: Column) -> Column:
         j = F.get(F.col("pairs"), i)
@@ -163,8 +168,7 @@ def merge(docs: DataFrame, blocks: DataFrame, candidates: DataFrame, replies: Da
         )
 
     def exclusion(x: Column, i: Column) -> Column:
-        ev = evidence(x["evidence_quote"])
-        return F.struct(F.concat("block_id", F.lit(".ex_"), (i + 1).cast("string")).alias("exclusion_id"), X.collapse(x["text"], compose=False).alias("text"), coerce(x["kind"], EXCLUSION_KINDS, F.lit("other")).alias("kind"), _status(ev).alias("status"), F.lit(0.9).alias("confidence"), F.lit("llm").alias("source"), ev.alias("evidence"))
+        return X.let(evidence(x["evidence_quote"]), lambda ev: F.struct(F.concat("block_id", F.lit(".ex_"), (i + 1).cast("string")).alias("exclusion_id"), X.collapse(x["text"], compose=False).alias("text"), coerce(x["kind"], EXCLUSION_KINDS, F.lit("other")).alias("kind"), _status(ev).alias("status"), F.lit(0.9).alias("confidence"), F.lit("llm").alias("source"), ev.alias("evidence")))
 
     df = df.withColumns({
         "cost_share": F.concat(F.transform("scanned", scanned_share), F.transform(loose, told_share)),

@@ -39,6 +39,14 @@ def prompt(blocks: DataFrame, prescan: DataFrame) -> DataFrame:
     return joined.select("doc_id", "block_id", F.concat(F.lit("<document>\n"), "text", F.lit("\n</document>\n<benefits>\n"), part("benefit"), F.lit("\n</benefits>\n<costs>\n"), part("cost"), F.lit("\n</costs>\n<literals>\n"), F.coalesce("prescan", F.lit("- (no literals found)")), F.lit("\n</literals>")).alias("prompt"))
 
 
+def _strange(known: list[str]):
+    return lambda m: F.size(F.array_except(F.map_keys(m), F.array(*[F.lit(k) for k in known]))) > 0
+
+
+def _lacks(field: str):
+    return lambda m: m[field].isNull()
+
+
 def parse_replies(replies: DataFrame) -> DataFrame:
     """replies (doc_id, block_id, attempt, reply) -> (doc_id, block_id, attempt, parsed, errors): the JSON of each reply against the contract.
 
@@ -55,11 +63,9 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     ]
     for name, kind in (("services", SERVICE), ("cost_share", COST_SHARE), ("exclusions", EXCLUSION)):
         members = F.from_json(F.get_json_object("reply", f"$.{name}"), "array<map<string,string>>")
-        own = F.array(*[F.lit(f.name) for f in _ddl(kind).fields])
-        errors.append(F.when(F.exists(F.coalesce(members, F.array().cast("array<map<string,string>>")), lambda m, own=own: F.size(F.array_except(F.map_keys(m), own)) > 0), f"unknown_field:{name}"))
+        errors.append(F.when(F.exists(F.coalesce(members, F.array().cast("array<map<string,string>>")), _strange([f.name for f in _ddl(kind).fields])), f"unknown_field:{name}"))
         need = F.coalesce(F.col(f"p.{name}"), F.array().cast(f"array<{kind}>"))
-        for field in REQUIRED[name]:
-            errors.append(F.when(F.exists(need, lambda m, field=field: m[field].isNull()), f"missing_field:{name}.{field}"))
+        errors += [F.when(F.exists(need, _lacks(field)), f"missing_field:{name}.{field}") for field in REQUIRED[name]]
     df = df.withColumn("errors", F.array_distinct(F.array_compact(F.array(*errors))))
     fields = F.struct(*[F.col(f"p.{k}").alias(k) for k in known])
     return df.select("doc_id", "block_id", "attempt", F.when(F.size("errors") == 0, fields).alias("parsed"), "errors")
@@ -125,27 +131,34 @@ def _first(flat: Column, pattern: str, group: int = 0) -> Column:
 
 def stub_services(flat: Column) -> Column:
     """Services by quantity phrases and X-ray sentences; a service's codes are those up to the next one."""
-    xrays = X.regex_scan(flat, XRAY)
-    phrases = F.filter(X.regex_scan(flat, SERVICE_FORM), lambda m: ~F.exists(xrays, lambda x: (x["start"] <= m["start"]) & (m["end"] <= x["end"])))
-    found = F.array_sort(F.transform(F.concat(phrases, xrays), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.trim(m["quote"]).alias("quote"))))
     form = rf"(?i)^(\w+)\s+(.+?)\s+{_SPAN}$"
     counts = F.create_map(*[F.lit(x) for k, v in COUNT_WORDS.items() if v < 8 for x in (k, float(v))])
 
-    def build(m: Column, i: Column) -> Column:
-        parsed = m["quote"].rlike(form)
-        unit = F.trim(F.regexp_extract(m["quote"], form, 2))
-        count = F.lower(F.regexp_extract(m["quote"], form, 1))
-        span = F.lower(F.regexp_extract(m["quote"], form, 3))
-        name = F.when(parsed, F.concat(F.upper(F.left(unit, F.lit(1))), F.substring(unit, F.lit(2), F.char_length(unit)))).otherwise("Dental X-rays")
-        until = F.coalesce(F.get(found, i + 1)["start"], F.char_length(flat))
-        return F.struct(
-            name.alias("name"), first_rule(F.lower(name), CATEGORIES, F.lit("other")).alias("category"), F.when(parsed, F.coalesce(F.try_element_at(counts, count), count.try_cast("double"))).alias("limit_count"),
-            F.when(parsed, F.lower(unit)).otherwise("study").alias("limit_unit"), F.when(~parsed, "per_year").when(span.contains("calendar"), "per_calendar_year").when(span.contains("month"), "per_month").otherwise("per_year").alias("limit_period"),
-            m["quote"].alias("limit_raw"), F.regexp_extract_all(F.substring(flat, m["end"] + 1, until - m["end"]), F.lit(r"\bD\d{4}\b"), F.lit(0)).alias("codes"), m["quote"].alias("evidence_quote"),
+    def build(m: Column, until: Column) -> Column:
+        read = F.struct(
+            m["quote"].rlike(form).alias("parsed"), F.trim(F.regexp_extract(m["quote"], form, 2)).alias("unit"), F.lower(F.regexp_extract(m["quote"], form, 1)).alias("count"),
+            F.lower(F.regexp_extract(m["quote"], form, 3)).alias("span"),
         )
 
-    numbered = F.transform(found, lambda m, i: F.struct(m.alias("m"), build(m, i).alias("s")))
-    return F.transform(F.filter(numbered, lambda x: ~x["m"]["quote"].rlike(r"^(?:\$|\d[\d,]*\s+for\b)")), lambda x: x["s"])
+        def whole(r: Column) -> Column:
+            name = F.when(r["parsed"], F.concat(F.upper(F.left(r["unit"], F.lit(1))), F.substring(r["unit"], F.lit(2), F.char_length(r["unit"])))).otherwise("Dental X-rays")
+            return F.struct(
+                name.alias("name"), X.let(F.lower(name), lambda n: first_rule(n, CATEGORIES, F.lit("other"))).alias("category"), F.when(r["parsed"], F.coalesce(F.try_element_at(counts, r["count"]), r["count"].try_cast("double"))).alias("limit_count"),
+                F.when(r["parsed"], F.lower(r["unit"])).otherwise("study").alias("limit_unit"), F.when(~r["parsed"], "per_year").when(r["span"].contains("calendar"), "per_calendar_year").when(r["span"].contains("month"), "per_month").otherwise("per_year").alias("limit_period"),
+                m["quote"].alias("limit_raw"), F.regexp_extract_all(F.substring(flat, m["end"] + 1, until - m["end"]), F.lit(r"\bD\d{4}\b"), F.lit(0)).alias("codes"), m["quote"].alias("evidence_quote"),
+            )
+
+        return X.let(read, whole)
+
+    def both(xrays: Column) -> Column:
+        phrases = F.filter(X.regex_scan(flat, SERVICE_FORM), lambda m: ~F.exists(xrays, lambda x: (x["start"] <= m["start"]) & (m["end"] <= x["end"])))
+        return F.array_sort(F.transform(F.concat(phrases, xrays), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.trim(m["quote"]).alias("quote"))))
+
+    def services(found: Column) -> Column:
+        spans = F.transform(found, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["quote"].alias("quote"), F.coalesce(F.get(found, i + 1)["start"], F.char_length(flat)).alias("until")))
+        return F.transform(F.filter(spans, lambda m: ~m["quote"].rlike(r"^(?:\$|\d[\d,]*\s+for\b)")), lambda m: build(m, m["until"]))
+
+    return X.let(X.let(X.regex_scan(flat, XRAY), both), services)
 
 
 def stub_exclusions(flat: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfacts.functions import textops as X
+from docfacts.functions.tables import durable
 
 #: The bound of low confidence, and statuses that need a human.
 LOW_CONFIDENCE, REVIEW = 0.7, ["ambiguous", "unverified", "truncated"]
@@ -140,7 +141,8 @@ RULES: list[tuple[str, Callable[[DataFrame, DataFrame, DataFrame | None], DataFr
 def validate(docs: DataFrame, packages: DataFrame, info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(flags, metrics): all flags of RULES and of documents without packages; and for each document fields_total,
     fields_grounded (quotes anywhere in the document), fields_null, groundedness_rate (4 places, half to even), passed, needs_review."""
-    nodes = ground(evidence_nodes(packages, info), docs)
+    packages, docs = durable(packages), durable(docs.select("doc_id", "flat"))
+    nodes = durable(ground(evidence_nodes(packages, info), docs))
     flags = no_packages(docs, packages)
     for _, rule in RULES:
         flags = flags.unionByName(rule(nodes, packages, info))

@@ -93,8 +93,8 @@ def code_candidates(text: Column, flat: Column, base: Column, s: Scanner, number
 
     def step(acc: Column, q: Column) -> Column:
         after = F.instr(F.substring(flat, acc["cursor"] + 1, F.char_length(flat)), q)
-        at = F.when(after > 0, acc["cursor"] + after - 1).otherwise(F.instr(flat, q) - 1)
-        return F.struct(F.when(at >= 0, at + F.char_length(q)).otherwise(acc["cursor"]).cast("int").alias("cursor"), F.when(at >= 0, F.concat(acc["found"], F.array(F.struct(q.alias("quote"), at.cast("int").alias("at"))))).otherwise(acc["found"]).alias("found"))
+        place = X.let(after, lambda i: F.when(i > 0, acc["cursor"] + i - 1).otherwise(F.instr(flat, q) - 1))
+        return X.let(place, lambda at: F.struct(F.when(at >= 0, at + F.char_length(q)).otherwise(acc["cursor"]).cast("int").alias("cursor"), F.when(at >= 0, F.concat(acc["found"], F.array(F.struct(q.alias("quote"), at.cast("int").alias("at"))))).otherwise(acc["found"]).alias("found")))
 
     placed = F.aggregate(quotes, start, step, lambda acc: acc["found"])
     edge_free = r"^(D\d{4})\s*[-–]\s*(?s:(.*))$"

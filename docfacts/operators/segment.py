@@ -61,18 +61,17 @@ def column_of(line: Column) -> Column:
 def line_columns(text: Column) -> Column:
     """ARRAY<STRUCT<line, label>>: logical lines with their column; an undecided line takes the majority of the decided
     lines within SMOOTHING before it (as already decided) and after it; a tie, or no decided line, is benefit."""
-    all_lines = X.logical_lines(text)
-    first = F.transform(all_lines, column_of)
-    labels = F.aggregate(
-        F.sequence(F.lit(0), F.size(all_lines) - 1), F.array().cast("array<string>"),
-        lambda done, i: F.concat(done, F.array(
-            F.when(F.get(first, i) != "?", F.get(first, i)).otherwise(
-                F.when(
-                    F.size(F.filter(F.concat(F.slice(done, F.greatest(i - SMOOTHING, F.lit(0)) + 1, F.lit(SMOOTHING)), F.slice(first, i + 2, SMOOTHING)), lambda x: x == "cost"))
-                    > F.size(F.filter(F.concat(F.slice(done, F.greatest(i - SMOOTHING, F.lit(0)) + 1, F.lit(SMOOTHING)), F.slice(first, i + 2, SMOOTHING)), lambda x: x == "benefit")),
-                    "cost",
-                ).otherwise("benefit")
-            )
-        )),
-    )
-    return F.when(F.size(all_lines) > 0, F.arrays_zip(all_lines.alias("line"), labels.alias("label"))).otherwise(F.array().cast("array<struct<line:string,label:string>>"))
+
+    def labelled(all_lines: Column) -> Column:
+        def smooth(first: Column) -> Column:
+            def step(done: Column, i: Column) -> Column:
+                near = F.concat(F.slice(done, F.greatest(i - SMOOTHING, F.lit(0)) + 1, F.least(i, F.lit(SMOOTHING))), F.slice(first, i + 2, SMOOTHING))
+                major = X.let(near, lambda w: F.when(F.size(F.filter(w, lambda x: x == "cost")) > F.size(F.filter(w, lambda x: x == "benefit")), "cost").otherwise("benefit"))
+                return F.concat(done, F.array(F.when(F.get(first, i) != "?", F.get(first, i)).otherwise(major)))
+
+            return F.aggregate(F.sequence(F.lit(0), F.size(first) - 1), F.array().cast("array<string>"), step)
+
+        labels = X.let(F.transform(all_lines, column_of), smooth)
+        return F.when(F.size(all_lines) > 0, F.arrays_zip(all_lines.alias("line"), labels.alias("label"))).otherwise(F.array().cast("array<struct<line:string,label:string>>"))
+
+    return X.let(X.logical_lines(text), labelled)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfacts.plans import problems
+from docfacts.plans import core, problems
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(problems.QUERIES)
+    return core.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)

@@ -84,7 +84,8 @@ def summaries(raw_rows: DataFrame, rows: DataFrame) -> DataFrame:
     filled_share: filled cells of the five columns besides the group's own text, rounded half to even to 4 places."""
     per = raw_rows.groupBy("doc_id", "strategy").agg(F.countDistinct("page").cast("int").alias("n"))
     used = per.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "n")))).alias("strategies"), F.sum("n").alias("pages_with_rows"))
-    heads = raw_rows.groupBy("doc_id").agg(F.max_by("labels", F.struct(F.size(mapping.label_roles(F.coalesce("labels", F.array().cast("array<string>")))), -F.col("page"), -F.col("segment"))).alias("labels"))
+    tables = raw_rows.groupBy("doc_id", "page", "segment").agg(F.first("labels").alias("labels"))  # one label list for each table
+    heads = tables.groupBy("doc_id").agg(F.max_by("labels", F.struct(F.size(mapping.label_roles(F.coalesce("labels", F.array().cast("array<string>")))), -F.col("page"), -F.col("segment"))).alias("labels"))
     filled = sum((F.count(c) for c in ("benefit_group", *FIELDS)), F.lit(0))
     counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.bround(filled / (F.count(F.lit(1)) * 5), 4).alias("filled_share"))
     labels = F.coalesce("labels", F.array().cast("array<string>"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfacts.functions.textops import let
+
 #: Phrases of each role; of phrases in one label the longest holds, of equally long ones the earlier role.
 ROLE_PHRASES = [
     ("out_network", ["out of network", "out of plan", "outofnetwork", "non participating", "nonparticipating", "non par", "out network"]),
@@ -32,19 +34,25 @@ def normal_label(label: Column) -> Column:
 
 def label_role(label: Column) -> Column:
     """The role that a label names, or null; a bare coverage column counts as in_network."""
-    norm = normal_label(label)
-    hits = [F.when(F.contains(norm, F.lit(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(-k).alias("o"), F.lit(role).alias("r"))) for k, (role, phrases) in enumerate(ROLE_PHRASES) for p in phrases]
-    hint = F.lit(False)
-    for h in COVERAGE_HINTS:
-        hint = hint | F.contains(norm, F.lit(h))
-    return F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["r"], F.when(hint, "in_network"))
+
+    def role(norm: Column) -> Column:
+        hits = [F.when(F.contains(norm, F.lit(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(-k).alias("o"), F.lit(role).alias("r"))) for k, (role, phrases) in enumerate(ROLE_PHRASES) for p in phrases]
+        hint = F.lit(False)
+        for h in COVERAGE_HINTS:
+            hint = hint | F.contains(norm, F.lit(h))
+        return F.coalesce(F.array_max(F.array_compact(F.array(*hits)))["r"], F.when(hint, "in_network"))
+
+    return let(normal_label(label), role)
 
 
 def label_roles(labels: Column) -> Column:
     """MAP<role, column>: the first column of each role."""
-    named = F.filter(F.transform(labels, lambda x, i: F.struct(label_role(x).alias("r"), i.alias("i"))), lambda x: x["r"].isNotNull())
-    first = F.filter(F.transform(named, lambda x, k: F.struct(x["r"].alias("r"), x["i"].alias("i"), k.alias("k"))), lambda x: F.array_position(F.transform(named, lambda y: y["r"]), x["r"]) == x["k"] + 1)
-    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["r"], x["i"])))
+
+    def first(roles: Column) -> Column:
+        entries = F.transform(roles, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
+        return F.map_from_entries(F.filter(entries, lambda x: x["r"].isNotNull() & (F.array_position(roles, x["r"]) == x["i"] + 1)))
+
+    return let(F.transform(labels, label_role), first)
 
 
 def unqualified_coverage(labels: Column) -> Column:

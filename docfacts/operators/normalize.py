@@ -24,11 +24,13 @@ def pages(docs: DataFrame, raw: str = "raw", anchor: str = PAGE_ANCHOR) -> DataF
 
 
 def page_lines(pages_: DataFrame) -> DataFrame:
-    """(doc_id, page_seq, page, line_no INT, line, key, in_zone): lines with their digit-masked form and whether they stand in the page's head or foot."""
-    split = pages_.withColumn("ls", X.lines(F.col("body"))).withColumn("n", F.size("ls"))
+    """(doc_id, page_seq, page, line_no INT, line, key, in_zone): folded lines with their digit-masked form and whether they stand in the page's head or foot.
+
+    Folding is done once for each page, not for each line: it neither makes nor removes line ends."""
+    split = pages_.withColumn("ls", X.lines(X.fold(F.col("body")))).withColumn("n", F.size("ls"))
     rows = split.select("doc_id", "page_seq", "page", "n", F.posexplode("ls").alias("line_no", "line"))
     zone = (F.col("line_no") < HEAD_LINES) | (F.col("line_no") >= F.col("n") - FOOT_LINES)
-    return rows.select("doc_id", "page_seq", "page", "line_no", "line", F.regexp_replace(X.collapse(F.col("line")), r"\d+", "#").alias("key"), zone.alias("in_zone"))
+    return rows.select("doc_id", "page_seq", "page", "line_no", "line", F.regexp_replace(F.trim(X.squeeze(F.col("line"))), r"\d+", "#").alias("key"), zone.alias("in_zone"))
 
 
 def mark_boilerplate(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -52,7 +54,7 @@ def normalize(docs: DataFrame, raw: str = "raw", anchor: str = PAGE_ANCHOR) -> D
     """
     usable = docs.select("doc_id", F.col(raw).alias("raw")).where(X.reject_reason(F.col("raw")).isNull())
     marked = mark_boilerplate(page_lines(pages(usable, "raw", anchor).repartition("doc_id")))
-    clean = F.trim(F.regexp_replace(X.fold(F.col("line")), "[ \t]+", " "))
+    clean = F.trim(F.regexp_replace("line", "[ \t]+", " "))
     kept = marked.withColumn("clean", F.trim(F.regexp_replace(clean, r"(?U)^\s+|\s+$", "")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("dropped") & (F.col("clean") != ""), F.struct("line_no", "clean")))), lambda x: x["clean"]), "\n")
     paged = kept.groupBy("doc_id", "page_seq").agg(F.first("page", ignorenulls=True).alias("page"), text.alias("t"), F.count_if("dropped").alias("d"))

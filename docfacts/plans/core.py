@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.functions import textops as X
-from docfacts.functions.tables import table
+from docfacts.functions.tables import durable, table
 from docfacts.operators import geometry, guide, jobs, mapping, merge, model, normalize, readers, rules, scanners, segment
-from docfacts.plans import corpus
+from docfacts.plans import corpus, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,9 +49,8 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = _docs(spark, d)
-    blocks = segment.blocks(docs)
-    return docs, blocks, merge.merge(docs, blocks, scanners.scan_packages(blocks), model.stub_replies(blocks))
+    done = pipeline.extract(corpus.plan_docs(spark, d))
+    return done.docs, done.blocks, done.packages
 
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -479,20 +478,18 @@ def role_inference(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def guide_rows(spark: SparkSession, d: str) -> DataFrame:
-    return guide.guide(_grid_rows(spark, d))
+    return pipeline.read_guides(_grid_rows(spark, d)).rows
 
 
 @query()
 def guide_summaries(spark: SparkSession, d: str) -> DataFrame:
-    raw = _grid_rows(spark, d)
-    return guide.summaries(raw, guide.guide(raw)).select("doc_id", "n_rows", "pages_with_rows", F.array_join("mapped", ",").alias("mapped"), F.array_join("unmapped", "|").alias("unmapped"), "filled_share")
+    found = pipeline.read_guides(_grid_rows(spark, d)).summaries
+    return found.select("doc_id", "n_rows", "pages_with_rows", F.array_join("mapped", ",").alias("mapped"), F.array_join("unmapped", "|").alias("unmapped"), "filled_share")
 
 
 @query()
 def guide_checks(spark: SparkSession, d: str) -> DataFrame:
-    raw = _grid_rows(spark, d)
-    rows = guide.guide(raw)
-    return guide.checks(rows, guide.summaries(raw, rows))
+    return pipeline.read_guides(_grid_rows(spark, d)).flags
 
 
 _KEY = "guide_id, dental_code, description, frequency, in_network, out_network"
@@ -549,7 +546,7 @@ def markdown_tables(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def markdown_guide(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return guide.guide(readers.read_markdown(docs)).select("doc_id", "dental_code", *guide.FIELDS, "benefit_group", "group_source")
+    return pipeline.read_guides(readers.read_markdown(docs)).rows.select("doc_id", "dental_code", *guide.FIELDS, "benefit_group", "group_source")
 
 
 @query()
@@ -571,10 +568,10 @@ def _sizes(words: DataFrame) -> DataFrame:
 
 def _frame(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     words = corpus.guide_words(spark, d)
-    lines = geometry.lines(words)
-    frames = geometry.page_frames(lines, _sizes(words))
-    body = geometry.body_lines(lines, frames)
-    return words, lines, frames, body, geometry.bands(lines, body, frames)
+    lines = durable(geometry.lines(words))
+    frames = durable(geometry.page_frames(lines, _sizes(words)))
+    body = durable(geometry.body_lines(lines, frames))
+    return words, lines, frames, body, durable(geometry.bands(lines, body, frames))
 
 
 @query(f"WITH {_WORDS} SELECT doc_id, page, CAST(round_even(top / 3, 0) AS INT) AS line, string_agg(text, ' ' ORDER BY x0, seq) AS line_text FROM words GROUP BY ALL")

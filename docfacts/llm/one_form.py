@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfacts.functions.textfold import shape_map
@@ -19,8 +19,8 @@ from docfacts.operators import skew
 
 #: Texts of these characters alone are their own form: ASCII, Latin-1 letters, dashes, quotation marks, bullet, signs that nothing looks like.
 STABLE = r"^[\x00-\x7F¡¿À-ÿ–—‘’“”•€]*$"
-#: First and last code point of the vowels and finals that join a Korean syllable.
-KOREAN_TAIL = (0x1161, 0x11C2)
+#: First and last code points of the letters of a Korean syllable.
+KOREAN_HEADS, KOREAN_VOWELS, KOREAN_TAILS = (0x1100, 0x1112), (0x1161, 0x1175), (0x11A8, 0x11C2)
 
 
 @functools.lru_cache(maxsize=1)
@@ -78,10 +78,9 @@ def one_form(texts: DataFrame, text: str = "text") -> DataFrame:
     plain = points.join(mapping, "ch", "left").select("text", "pos", F.coalesce("becomes", F.array("ch")).alias("chars"), F.coalesce("classes", F.array(F.lit(0))).alias("classes"))
     parts = plain.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", "chars", "classes"))).alias("p"))  # one text's own code points
     flat = parts.select("text", F.flatten(F.transform("p", lambda x: F.arrays_zip(x["chars"].alias("c"), x["classes"].alias("k")))).alias("points"))
-    # A cluster begins at a character of class 0 that doesn't join the one before it; marks are ordered by class inside it.
+    # A cluster begins at a character of class 0, but for letters that join a syllable; marks are ordered by class inside it.
     long = flat.select("text", F.posexplode("points").alias("at", "x")).select("text", "at", F.col("x.c").alias("c"), F.col("x.k").alias("k"))
-    joins = (F.col("k") > 0) | F.ascii("c").between(*KOREAN_TAIL)
-    clusters = _clusters(long.withColumn("starts", ~joins))
+    clusters = _clusters(long)
     known = clusters.join(compose, "cluster", "left").withColumn("piece", F.coalesce("composed", "cluster"))
     # A cluster with more marks than any composed character: its longest composable beginning.
     short = known.where(F.col("composed").isNull() & (F.char_length("cluster") > 2))
@@ -93,12 +92,14 @@ def one_form(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _clusters(long: DataFrame) -> DataFrame:
-    """(text, first, cluster): the characters of each cluster, marks ordered by class and then by place."""
-    from pyspark.sql import Window
-
-    run = Window.partitionBy("text").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = long.withColumn("first", F.sum(F.col("starts").cast("int")).over(run))
-    return numbered.groupBy("text", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("starts"), -1).otherwise(F.col("k")).alias("k"), "at", "c"))), lambda x: x["c"]), "").alias("cluster"))
+    """(text, first, cluster): the characters of each cluster, marks ordered by class and then by place behind the character they follow."""
+    order = Window.partitionBy("text").orderBy("at")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    code, before = F.ascii("c"), F.ascii(F.lag("c").over(order))
+    syllable = (code.between(*KOREAN_VOWELS) & before.between(*KOREAN_HEADS)) | (code.between(*KOREAN_TAILS) & before.between(*KOREAN_VOWELS))
+    marked = long.withColumn("starts", (F.col("k") == 0) & ~F.coalesce(syllable, F.lit(False)))
+    numbered = marked.withColumns({"first": F.sum(F.col("starts").cast("int")).over(run), "base": F.sum((F.col("k") == 0).cast("int")).over(run)})
+    return numbered.groupBy("text", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", "k", "at", "c"))), lambda x: x["c"]), "").alias("cluster"))
 
 
 def forms(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ SPACE = rb"(?:[\t-\r\x1c- ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\x
 SPACES = re.compile(SPACE + rb"+")
 #: What marks a boundary, in UTF-8; the cut lies after the match of SENTENCE_END, and before that of BREAK.
 SENTENCE_END = re.compile("[.!?]+(?:[\"')\\]]|”|’|»)*(?=".encode() + SPACE + ")|…|(?:。|！|？|；)(?:”|’|」|』|）)*".encode())
-BREAK = re.compile(rb"(?:[ \t]*(?:\r\n|\n|\r)[ \t]*)+")
+BREAK = re.compile(rb"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))*[ \t]*")
 HEADING = re.compile(rb"(?:#{1,6}\s|\d{1,4}\s+\d{4}\s|(?:chapter|section|part|article|optional package)\s+\w+|Q:)", re.IGNORECASE)
 
 
@@ -38,6 +38,8 @@ def boundaries(raw: bytes) -> dict[int, int]:
         found = m.group()
         lines = found.count(b"\n") + found.count(b"\r") - found.count(b"\r\n")
         at = m.start()
+        while at and raw[at - 1] in b" \t":
+            at -= 1
         if lines > 2 or (lines > 1 and HEADING.match(raw, m.end())):
             out[at] = SECTION
         else:
@@ -192,16 +194,24 @@ def cut(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path:
                 _, edges, before, first = enc.split(data, offsets[a : b + 1])
                 rows: list[tuple] = []
                 doc: list[int] = []
+                totals = np.diff(before[first]).tolist()
+                raw_block = data[offsets[a] : offsets[b]].tobytes()
+                heads = (np.frombuffer(raw_block, np.uint8) & 0xC0) != 0x80
                 for k in range(a, b):
-                    raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                    lo, hi = int(offsets[k] - offsets[a]), int(offsets[k + 1] - offsets[a])
+                    raw = raw_block[lo:hi]
+                    if totals[k - a] <= limit:
+                        doc.append(k)
+                        n_chars = int(np.count_nonzero(heads[lo:hi]))
+                        rows.append((0, 0, 0, n_chars, totals[k - a], "end", raw))
+                        continue
                     i, j = first[k - a], first[k - a + 1] + 1
                     cutter = Cutter(enc, raw, (edges[i:j] - edges[i]).tolist(), before[i:j].tolist(), limit, overlap)
-                    ascii_ = raw.isascii()
-                    heads = None if ascii_ else np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+                    chars = None if raw.isascii() else np.concatenate((np.flatnonzero(heads[lo:hi]), [hi - lo]))
                     for number, (start, at, end, n, strength) in enumerate(cutter.pieces()):
-                        places = (start, at, end) if ascii_ else np.searchsorted(heads, (start, at, end)).tolist()
+                        places = (start, at, end) if chars is None else np.searchsorted(chars, (start, at, end)).tolist()
                         doc.append(k)
-                        rows.append((number, *places, n, STRENGTH_NAMES[strength] if end < len(raw) else "end", raw[start:end].decode()))
+                        rows.append((number, *places, n, STRENGTH_NAMES[strength] if end < len(raw) else "end", raw[start:end]))
                 columns = list(zip(*rows))
                 kinds = [pa.int32()] * 5 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", "piece", "start", "core_start", "end", "n_tokens", "boundary", "text"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docfacts.functions import textops as X
 from docfacts.functions.tables import durable, table
-from docfacts.operators import geometry, guide, jobs, mapping, merge, model, normalize, readers, rules, scanners, segment
+from docfacts.operators import calls, geometry, guide, jobs, mapping, merge, model, normalize, readers, rules, scanners, segment
 from docfacts.plans import corpus, pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -636,3 +636,25 @@ def job_keys(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, key FROM k WHERE id NOT IN (SELECT min(id) FROM k GROUP BY key)""")
 def job_replays(spark: SparkSession, d: str) -> DataFrame:
     return jobs.submit(table(spark, d, "documents"), content="text")[1]
+
+
+class _FlakyOffline:
+    """A client for tests of the calls: some prompts fail once and then pass, others never pass."""
+
+    def __init__(self) -> None:
+        self.seen: set[str] = set()
+
+    def complete(self, prompt: str) -> str:
+        kind = len(prompt) % 3
+        if kind == 1 and prompt not in self.seen:
+            self.seen.add(prompt)
+            raise calls.Fault.of_status(503)
+        if kind == 2:
+            raise calls.Fault.of_status(400)
+        return "{}"
+
+
+@query(f"WITH {_NORM} SELECT doc_id, block_id, CASE WHEN length(btext) % 3 = 2 THEN 'http_400' END AS error, CASE WHEN length(btext) % 3 = 1 THEN 2 ELSE 1 END AS calls FROM p")
+def model_calls(spark: SparkSession, d: str) -> DataFrame:
+    prompts = _blocks(spark, d).where("kind = 'package'").select("doc_id", "block_id", F.col("text").alias("prompt"))
+    return calls.ask(prompts, _FlakyOffline, base=0.0).select("doc_id", "block_id", "error", "calls")

@@ -14,6 +14,9 @@ def spark():
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.default.parallelism", "4").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from docfacts.functions.shipping import ship
+
+    ship(session)
     yield session
     session.stop()
 

@@ -102,3 +102,41 @@ def test_the_core_does_not_import_the_llm_subpackage():
         if f"{os.sep}llm{os.sep}" not in path:
             with open(path) as f:
                 assert "docfacts.llm" not in f.read(), path
+
+
+def test_calls_retry_passing_faults_and_keep_the_others(spark):
+    import random
+
+    from docfacts.operators import calls
+
+    waits = []
+    state = {"n": 0}
+
+    def flaky():
+        state["n"] += 1
+        if state["n"] < 3:
+            raise calls.Fault.of_status(429)
+        return "ok"
+
+    assert calls.with_retry(flaky, 3, 0.5, 8.0, waits.append, random.Random(1)) == ("ok", None, 3) and len(waits) == 2 and waits[0] <= 0.5 and waits[1] <= 1.0
+    assert calls.with_retry(lambda: (_ for _ in ()).throw(calls.Fault.of_status(400)), 3, 0.5, 8.0, waits.append, random.Random(1)) == (None, "http_400", 1)
+    assert calls.with_retry(lambda: 1 / 0, 3, 0.5, 8.0, waits.append, random.Random(1)) == (None, "ZeroDivisionError", 1)
+
+
+def test_batch_entries(spark, tmp_path):
+    from docfacts.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("1 2024 Evidence of Coverage for X Plan\nOptional supplemental package 1 - Dental package\nPremium $9.00 monthly premium\n")
+    assert main(["text", str(tmp_path / "in"), str(tmp_path / "out")], spark) == 0
+    assert spark.read.json(str(tmp_path / "out/packages")).count() == 1
+    spark.createDataFrame([(1, 1, 0, 0, ["Code", "Description"]), (1, 1, 0, 1, ["D0120", "Periodic check"])], "doc_id long, page int, table_seq int, row_seq int, cells array<string>").write.parquet(str(tmp_path / "grids"))
+    assert main(["guides", str(tmp_path / "grids"), str(tmp_path / "g")], spark) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "g/csv")).first()["Dental Code"] == "D0120"
+    nodes = spark.createDataFrame([(1, "/x", None, "premium", "found", 1.0, "gone", 0, 4, None, None, None, None), (1, "/y", None, "premium", "found", 1.0, "text", 0, 4, None, None, None, None)], "doc_id long, path string, package string, kind string, status string, confidence double, quote string, start int, end int, amount_usd double, percent double, span_start int, span_end int")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame([(1, "some text")], "doc_id long, flat string").write.parquet(str(tmp_path / "docs"))
+    assert main(["validate", str(tmp_path / "nodes"), str(tmp_path / "docs"), str(tmp_path / "v")], spark) == 1
+    assert {r["rule"] for r in spark.read.parquet(str(tmp_path / "v")).collect()} == {"groundedness.not_in_source", "groundedness.offset_mismatch"}
+    assert main(["validate", str(tmp_path / "nodes"), str(tmp_path / "docs"), str(tmp_path / "f"), "--fix-offsets"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "f")).where("path = '/y'").first()["start"] == 5

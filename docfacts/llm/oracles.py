@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 #: Letters, digits and combining marks in lower case.
 _CANON = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
 
@@ -11,7 +13,7 @@ WITH t AS (
   FROM (SELECT row_id, guide_id, {_CANON.format("dental_code")} AS a, {_CANON.format("description")} AS b FROM benefit_rows WHERE dental_code IS NOT NULL AND description IS NOT NULL)
 )"""
 
-SQL: dict[str, str] = {
+_PLAIN: dict[str, str] = {
     "p1_found": _TUPLES + """
 SELECT DISTINCT keep_id, row_id AS copy_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY guide_id, lo, hi) AS keep_id FROM t) WHERE row_id <> keep_id""",
     "p1_lines": _TUPLES + """
@@ -26,3 +28,41 @@ dw AS (SELECT doc_id, n, hash(array_to_string(w[k : k + n - 1], ' ')) AS h
   FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, h)""",
 }
+
+
+def _form(text: str) -> str:
+    """SQL of the one form of a text: characters that become one other, or nothing, by translate; Latin ligatures by replace; composition by DuckDB."""
+    from docfacts.llm.one_form import code_point_map
+
+    single, gone, longer = [], [], []
+    for ch, becomes, _ in code_point_map():
+        form = unicodedata.normalize("NFC", "".join(becomes))
+        if form == ch or "'" in (ch, form):
+            continue
+        if not form:
+            gone.append(ch)
+        elif len(form) == 1:
+            single.append((ch, form))
+        elif 0xFB00 <= ord(ch) <= 0xFB06:
+            longer.append((ch, form))
+    out = f"translate({text}, '{''.join(a for a, _ in single)}{''.join(gone)}', '{''.join(b for _, b in single)}')"
+    for a, b in longer:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize({out})"
+
+
+def _looks() -> dict[str, str]:
+    texts = """t AS (SELECT 'description' AS src, CAST(guide_id AS VARCHAR) AS grp, row_id AS id, description AS text FROM benefit_rows
+  UNION ALL SELECT 'quote', plan_key, premium_id, evidence_quote FROM premium_fields)"""
+    forms = f"f AS (SELECT src, grp, id, text, {_form('text')} AS form FROM t WHERE text IS NOT NULL)"
+    return {
+        "p6_found": f"WITH {texts}, {forms} SELECT DISTINCT a.src, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.src = b.src AND a.grp = b.grp AND a.form = b.form AND a.id < b.id AND a.text <> b.text WHERE a.form <> ''",
+        "p6_forms": f"WITH {texts}, {forms} SELECT src, id, form FROM f UNION ALL SELECT src, id, NULL FROM t WHERE text IS NULL",
+    }
+
+
+def __getattr__(name: str) -> dict[str, str]:
+    """SQL, made when it is asked for: the tables of characters take a second."""
+    if name == "SQL":
+        return _PLAIN | _looks()
+    raise AttributeError(name)

@@ -28,3 +28,12 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="docfacts-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all of the session's shuffle partitions by the keys.
+
+    For rows that are few bytes but much work: a shuffle without a number would be coalesced by bytes, to one task for
+    a small table. Aggregations and windows by the keys reuse the partitioning.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docfacts.functions import textops as X
+from docfacts.functions.tables import spread
 
 #: A page's first line; a parameter.
 PAGE_ANCHOR = r"(?m)^[ \t]*(\d{1,4})[ \t]+(?:19|20)\d{2}\s+Evidence of Coverage"
@@ -53,7 +54,7 @@ def normalize(docs: DataFrame, raw: str = "raw", anchor: str = PAGE_ANCHOR) -> D
     reject_reason refuses, or with too little text left, give no row. One shuffle, by document.
     """
     usable = docs.select("doc_id", F.col(raw).alias("raw")).where(X.reject_reason(F.col("raw")).isNull())
-    marked = mark_boilerplate(page_lines(pages(usable, "raw", anchor).repartition("doc_id")))
+    marked = mark_boilerplate(page_lines(spread(pages(usable, "raw", anchor), "doc_id")))
     clean = F.trim(F.regexp_replace("line", "[ \t]+", " "))
     kept = marked.withColumn("clean", F.trim(F.regexp_replace(clean, r"(?U)^\s+|\s+$", "")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("dropped") & (F.col("clean") != ""), F.struct("line_no", "clean")))), lambda x: x["clean"]), "\n")

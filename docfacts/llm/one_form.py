@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfacts.functions.textfold import shape_map
-from docfacts.functions.tables import durable
+from docfacts.functions.tables import durable, spread
 from docfacts.operators import skew
 
 #: Texts of these characters alone are their own form: ASCII, Latin-1 letters, dashes, quotation marks, bullet, signs that nothing looks like.
@@ -72,8 +72,9 @@ def one_form(texts: DataFrame, text: str = "text") -> DataFrame:
     """
     spark: SparkSession = texts.sparkSession
     mapping = F.broadcast(spark.createDataFrame(code_point_map(), "ch string, becomes array<string>, classes array<int>"))
-    compose = F.broadcast(spark.createDataFrame(composition_map(), "cluster string, composed string"))
+    compose = F.broadcast(spark.createDataFrame(composition_map(), "cluster_ string, composed string"))
     distinct = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull() & unstable(F.col("text"))).distinct()
+    distinct = spread(distinct, "text")  # all that follows is by text
     points = distinct.select("text", F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     plain = points.join(mapping, "ch", "left").select("text", "pos", F.coalesce("becomes", F.array("ch")).alias("chars"), F.coalesce("classes", F.array(F.lit(0))).alias("classes"))
     parts = plain.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", "chars", "classes"))).alias("p"))  # one text's own code points
@@ -81,12 +82,11 @@ def one_form(texts: DataFrame, text: str = "text") -> DataFrame:
     # A cluster begins at a character of class 0, but for letters that join a syllable; marks are ordered by class inside it.
     long = flat.select("text", F.posexplode("points").alias("at", "x")).select("text", "at", F.col("x.c").alias("c"), F.col("x.k").alias("k"))
     clusters = _clusters(long)
-    known = clusters.join(compose, "cluster", "left").withColumn("piece", F.coalesce("composed", "cluster"))
-    # A cluster with more marks than any composed character: its longest composable beginning.
-    short = known.where(F.col("composed").isNull() & (F.char_length("cluster") > 2))
-    longest = short.select("text", "first", "cluster", F.explode(F.sequence(F.lit(2), F.char_length("cluster") - 1)).alias("n")).withColumn("head", F.expr("left(cluster, n)")).drop("cluster")
-    longest = longest.join(compose.withColumnsRenamed({"cluster": "head", "composed": "whole"}), "head").groupBy("text", "first").agg(F.max_by(F.struct("n", "whole"), "n").alias("best"))
-    pieces = known.join(longest, ["text", "first"], "left").select("text", "first", F.when(F.col("best").isNotNull(), F.concat("best.whole", F.expr("substring(cluster, best.n + 1)"))).otherwise(F.col("piece")).alias("piece"))
+    # Of a cluster's beginnings the longest that Unicode composes; what is left of the cluster follows as it is.
+    heads = clusters.select("text", "first", "cluster", F.explode(F.sequence(F.lit(1), F.char_length("cluster"))).alias("n")).withColumn("head", F.expr("left(cluster, n)"))
+    heads = heads.join(compose, heads["head"] == compose["cluster_"], "left").withColumn("whole", F.coalesce("composed", F.when(F.col("n") == 1, F.col("head")))).where("whole IS NOT NULL")
+    best = heads.groupBy("text", "first").agg(F.max(F.struct("n", "whole", "cluster")).alias("b"))
+    pieces = best.select("text", "first", F.concat("b.whole", F.expr("substring(b.cluster, b.n + 1)")).alias("piece"))
     built = pieces.groupBy("text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "piece"))), lambda x: x["piece"]), "").alias("form"))
     return distinct.join(built, "text", "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """df over all of the session's shuffle partitions by the keys.
 
     For rows that are few bytes but much work: a shuffle without a number would be coalesced by bytes, to one task for
-    a small table. Aggregations and windows by the keys reuse the partitioning.
+    a small table. Aggregations and windows by the keys reuse the partitioning. Where df comes from an aggregation by the
+    same keys, give a hash of them, because Spark leaves out a shuffle by keys by which rows are partitioned already.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docfacts.functions.tables import spread
 from docfacts.functions.textfold import plain
 from docfacts.operators import skew
 
@@ -174,7 +175,7 @@ def map_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SIMILAR
     names = terms.select("list_name", "term_id", F.explode(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name IS NOT NULL AND term_id IS NOT NULL AND list_name IS NOT NULL").distinct()
     names = names.withColumn("block", (F.row_number().over(_by_name()) / F.lit(block + 1)).cast("int"))
     n_blocks = (names.agg(F.max("block")).first()[0] or 0) + 1
-    distinct = values.where("entered IS NOT NULL").select("src", "entered").distinct()
+    distinct = spread(values.where("entered IS NOT NULL").select("src", "entered").distinct(), F.xxhash64("src", "entered"))
     out = None
     for k in range(n_blocks):
         part = [tuple(r) for r in names.where(F.col("block") == k).select("list_name", "term_id", "name").collect()]
@@ -210,5 +211,5 @@ def map_records(records: DataFrame, terms: DataFrame, least: float = LEAST_SIMIL
     cases = records.where("entered IS NOT NULL").join(exact, ["src", "entered"], "left_anti").select("src", "record_id", "entered")
     counted = cases.groupBy("src", "entered").agg(F.count(F.lit(1)).alias("n"))
     total = cases.count()
-    entries = map_values(counted.repartition("src", "entered"), terms, least).join(counted, ["src", "entered"]).withColumnsRenamed({"src": "s", "entered": "e"})
+    entries = map_values(counted, terms, least).join(counted, ["src", "entered"]).withColumnsRenamed({"src": "s", "entered": "e"})
     return skew.lookup(cases, {"s": F.col("src"), "e": F.col("entered")}, entries, "term_id", "n", total, F.col("record_id")).select("src", "record_id", "entered", "term_id").distinct()

@@ -14,24 +14,26 @@ PAGE_ANCHOR = r"(?m)^[ \t]*(\d{1,4})[ \t]+(?:19|20)\d{2}\s+Evidence of Coverage"
 MIN_LENGTH, MIN_PAGES, HEAD_LINES, FOOT_LINES = 15, 2, 5, 3
 
 
-def pages(docs: DataFrame, raw: str = "raw", anchor: str = PAGE_ANCHOR) -> DataFrame:
+def pages(docs: DataFrame, raw: str = "raw", anchor: str = PAGE_ANCHOR, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, page_seq INT, page INT, body): the text from each page anchor to the next.
 
     Text before the first anchor, or of a document without one, is a page without number. Null and empty texts give no row.
+    Columns to carry come along.
     """
     parts = F.split(F.regexp_replace(F.translate(F.col(raw), X.OPEN, ""), anchor, X.OPEN + "$0"), X.OPEN, -1)
-    cut = docs.select("doc_id", F.posexplode(parts).alias("page_seq", "body")).where("body <> ''")
-    return cut.select("doc_id", "page_seq", F.nullif(F.regexp_extract("body", "^" + anchor.replace("(?m)^", ""), 1), F.lit("")).cast("int").alias("page"), "body")
+    cut = docs.select("doc_id", *carry, F.posexplode(parts).alias("page_seq", "body")).where("body <> ''")
+    return cut.select("doc_id", "page_seq", F.nullif(F.regexp_extract("body", "^" + anchor.replace("(?m)^", ""), 1), F.lit("")).cast("int").alias("page"), "body", *carry)
 
 
-def page_lines(pages_: DataFrame) -> DataFrame:
+def page_lines(pages_: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, page_seq, page, line_no INT, line, key, in_zone): folded lines with their digit-masked form and whether they stand in the page's head or foot.
 
-    Folding is done once for each page, not for each line: it neither makes nor removes line ends."""
+    Folding is done once for each page, not for each line: it neither makes nor removes line ends. Carried columns stand in
+    a page's first line."""
     split = pages_.withColumn("ls", X.lines(X.fold(F.col("body")))).withColumn("n", F.size("ls"))
-    rows = split.select("doc_id", "page_seq", "page", "n", F.posexplode("ls").alias("line_no", "line"))
+    rows = split.select("doc_id", "page_seq", "page", "n", *carry, F.posexplode("ls").alias("line_no", "line"))
     zone = (F.col("line_no") < HEAD_LINES) | (F.col("line_no") >= F.col("n") - FOOT_LINES)
-    return rows.select("doc_id", "page_seq", "page", "line_no", "line", F.regexp_replace(F.trim(X.squeeze(F.col("line"))), r"\d+", "#").alias("key"), zone.alias("in_zone"))
+    return rows.select("doc_id", "page_seq", "page", "line_no", "line", F.regexp_replace(F.trim(X.squeeze(F.col("line"))), r"\d+", "#").alias("key"), zone.alias("in_zone"), *[F.when(F.col("line_no") == 0, F.col(c)).alias(c) for c in carry])
 
 
 def mark_boilerplate(lines: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -53,17 +55,19 @@ def normalize(docs: DataFrame, raw: str = "raw", anchor: str = PAGE_ANCHOR) -> D
     docs: doc_id, raw. text keeps the lines, flat has single blanks; page starts are places in flat. Documents that
     reject_reason refuses, or with too little text left, give no row. One shuffle, by document.
     """
+    carry = ("content_sha256", "n_chars")
     usable = docs.select("doc_id", F.col(raw).alias("raw")).where(X.reject_reason(F.col("raw")).isNull())
-    marked = mark_boilerplate(page_lines(spread(pages(usable, "raw", anchor), "doc_id")))
+    usable = usable.withColumns({"content_sha256": F.sha2("raw", 256), "n_chars": F.char_length("raw")})
+    marked = mark_boilerplate(page_lines(spread(pages(usable, "raw", anchor, carry), "doc_id"), carry))
     clean = F.trim(F.regexp_replace("line", "[ \t]+", " "))
     kept = marked.withColumn("clean", F.trim(F.regexp_replace(clean, r"(?U)^\s+|\s+$", "")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("dropped") & (F.col("clean") != ""), F.struct("line_no", "clean")))), lambda x: x["clean"]), "\n")
-    paged = kept.groupBy("doc_id", "page_seq").agg(F.first("page", ignorenulls=True).alias("page"), text.alias("t"), F.count_if("dropped").alias("d"))
-    whole = paged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("page_seq", "page", "t")))).alias("ps"), F.sum("d").alias("n_dropped"))
+    paged = kept.groupBy("doc_id", "page_seq").agg(F.first("page", ignorenulls=True).alias("page"), text.alias("t"), F.count_if("dropped").alias("d"), *[F.max(c).alias(c) for c in carry])
+    whole = paged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("page_seq", "page", "t")))).alias("ps"), F.sum("d").alias("n_dropped"), *[F.max(c).alias(c) for c in carry])
     acc = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,page:int>>").alias("starts"))
     step = lambda a, p: F.struct((a["at"] + F.char_length(p["t"]) + 1).alias("at"), F.concat(a["starts"], F.array(F.struct(a["at"].alias("start"), p["page"].alias("page")))).alias("starts"))
-    whole = whole.select("doc_id", "n_dropped", F.size("ps").alias("n_pages"), F.array_join(F.transform("ps", lambda p: p["t"]), "\n").alias("text"), F.aggregate("ps", acc, step, lambda a: a["starts"]).alias("text_starts"))
+    whole = whole.select("doc_id", "n_dropped", *carry, F.size("ps").alias("n_pages"), F.array_join(F.transform("ps", lambda p: p["t"]), "\n").alias("text"), F.aggregate("ps", acc, step, lambda a: a["starts"]).alias("text_starts"))
     whole = whole.withColumn("flat", F.rtrim(X.squeeze(F.col("text"))))
     starts = F.transform("text_starts", lambda p: F.struct(X.flat_offset(F.col("text"), p["start"]).cast("int").alias("start"), p["page"].alias("page")))
     out = whole.withColumn("page_starts", starts).where(F.char_length("flat") >= X.MIN_CHARS)
-    return out.join(usable.select("doc_id", F.sha2("raw", 256).alias("content_sha256"), F.char_length("raw").alias("n_chars")), "doc_id").select("doc_id", "text", "flat", "page_starts", "n_pages", "n_dropped", "n_chars", "content_sha256")
+    return out.select("doc_id", "text", "flat", "page_starts", "n_pages", "n_dropped", "n_chars", "content_sha256")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfacts.functions.tables import table
+from docfacts.functions.tables import spread, table
 
 _CODE = "'D' || lpad(CAST((c_custkey * {a} + {b}) % 10000 AS STRING), 4, '0')"
 _N = "chr(10)"
@@ -78,9 +78,9 @@ SELECT doc_id, 1 AS page, CAST(seq AS INT) AS seq, text, CAST(x0 AS DOUBLE) AS x
 
 def plan_docs(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, raw): the documents."""
-    return spark.sql(PLAN_DOCS.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer")).toDF("doc_id", "raw")
+    return spark.sql(PLAN_DOCS.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, d, "customer"), "c_custkey")).toDF("doc_id", "raw")
 
 
 def guide_words(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, page, seq, text, x0, x1, top, bottom): the pages' words."""
-    return spark.sql(GUIDE_WORDS.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer")).toDF("doc_id", "page", "seq", "text", "x0", "x1", "top", "bottom")
+    return spark.sql(GUIDE_WORDS.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, d, "customer"), "c_custkey")).toDF("doc_id", "page", "seq", "text", "x0", "x1", "top", "bottom")

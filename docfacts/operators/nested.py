@@ -403,7 +403,7 @@ def linked_rows(deliveries: DataFrame, run_col: str = "run_id", id_col: str = "d
     A value alone where a list is usual is a list of one, a list of one where a value is usual is that value; packages
     may be a list, an object by package id or a single package, in the root or under "result", and the payload may be a
     JSON string that holds the JSON. Missing, null and empty optional fields give no row; null elements give none and keep
-    their place. A run delivered again counts once: its latest complete delivery (by time, null first, then id). Null,
+    their place. A run delivered again counts once: its latest complete delivery that holds a package (by time, null first, then id). Null,
     empty and incomplete payloads give nothing. Rows without a run id are kept, as one run. Columns besides the four named
     ones are not read.
     """

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docfacts.functions.tables import spread
+from docfacts.functions.tables import durable, spread
 from docfacts.functions.textfold import plain
 from docfacts.operators import skew
 
@@ -211,5 +211,6 @@ def map_records(records: DataFrame, terms: DataFrame, least: float = LEAST_SIMIL
     cases = records.where("entered IS NOT NULL").join(exact, ["src", "entered"], "left_anti").select("src", "record_id", "entered")
     counted = cases.groupBy("src", "entered").agg(F.count(F.lit(1)).alias("n"))
     total = cases.count()
-    entries = map_values(counted, terms, least).join(counted, ["src", "entered"]).withColumnsRenamed({"src": "s", "entered": "e"})
+    counted = durable(counted)
+    entries = durable(map_values(counted, terms, least).join(counted, ["src", "entered"]).withColumnsRenamed({"src": "s", "entered": "e"}))
     return skew.lookup(cases, {"s": F.col("src"), "e": F.col("entered")}, entries, "term_id", "n", total, F.col("record_id")).select("src", "record_id", "entered", "term_id").distinct()

@@ -92,7 +92,7 @@ def proper_names(items: DataFrame) -> frozenset[str]:
 
 
 def item_windows(items: DataFrame, names: frozenset[str], window: int = WINDOW) -> DataFrame:
-    """(item_id, size, h, item_words): the windows of each item; the whole item if it has fewer words; none without words."""
+    """(item_id, size, h, item_words): the distinct windows of each item, several of one template too; the whole item if it has fewer words; none without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes(names)
@@ -108,7 +108,7 @@ def item_windows(items: DataFrame, names: frozenset[str], window: int = WINDOW)
                     rows += [(item_id, size, x, [w.lower() for w in written[a : a + size]]) for a, x in zip(at.tolist(), h.view(np.int64).tolist())]
             yield pd.DataFrame(rows, columns=["item_id", "size", "h", "item_words"])
 
-    return items.select("item_id", "text").where("item_id IS NOT NULL").mapInPandas(run, "item_id bigint, size int, h bigint, item_words array<string>").dropDuplicates(["item_id", "h"])
+    return items.select("item_id", "text").where("item_id IS NOT NULL").mapInPandas(run, "item_id bigint, size int, h bigint, item_words array<string>").dropDuplicates(["item_id", "h", "item_words"])
 
 
 def document_windows(documents: DataFrame, names: frozenset[str], sizes: list[int], wanted: dict[int, np.ndarray] | None) -> DataFrame:
@@ -151,7 +151,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, most_sen
     A passage is ``window`` consecutive words of the item, or the whole of an item with fewer; letter case, punctuation
     and spacing don't count. verbatim: some window has the item's own numbers, names and units; else all matching windows
     differ from it in such slots, one value always standing for one value. n_windows counts the item's distinct windows
-    found. Null and empty texts hold nothing, items without words are held by nothing; repeated rows change nothing.
+    (by their own words) found either way. Null and empty texts hold nothing, items without words are held by nothing; repeated rows change nothing.
     """
     names = proper_names(items)
     iw = item_windows(items, names, window)
@@ -173,7 +173,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, most_sen
     only_slots = F.forall("differ", lambda p: is_slot(p["item_words"]) & is_slot(p["words"]))
     same = F.size("differ") == 0
     both = both.withColumn("same", same).where(F.col("same") | (only_slots & one_to_one))
-    return both.groupBy("doc_id", "item_id").agg(F.max("same").alias("verbatim"), F.countDistinct("h").alias("n_windows"))
+    return both.groupBy("doc_id", "item_id").agg(F.max("same").alias("verbatim"), F.countDistinct("item_words").alias("n_windows"))
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -183,6 +183,20 @@ def test_other_parameters_are_the_same_question(spark):
     assert got == {1: False}
 
 
+@pytest.mark.parametrize("most_sent", [1_000_000, 1])
+def test_every_window_of_a_repeated_template_counts(spark, most_sent):
+    numbers = [str(n) for n in range(1, 41)]
+    prices = [w for metal in ("Copper", "Cobalt", "Nickel", "Zinc", "Silver", "Gold") for w in f"{metal} {len(metal)} dollars per month or".split()]
+    items = [(1, " ".join(numbers)), (2, "We list " + " ".join(prices))]
+    documents = [(a, " ".join(numbers[a : a + 13])) for a in range(28)] + [(100 + a, " ".join(prices[a : a + 13])) for a in range(len(prices) - 12)]
+    documents += [(200, " ".join(numbers[:12])), (201, " ".join(numbers[:12]) + " 99"), (202, " ".join(reversed(numbers))), (203, " ".join(numbers))]
+    d, i = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = eval_leak.leaks(d, i, most_sent=most_sent).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["verbatim"]} == brute(documents, items)
+    assert {tuple(r) for r in eval_leak.found(d, i).collect()} == brute(documents, items)
+    assert {r["n_windows"] for r in rows if r["doc_id"] == 203} == {28}
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 
 

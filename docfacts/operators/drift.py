@@ -43,13 +43,18 @@ def cell_type(cell: Column) -> Column:
     return out.otherwise("text")
 
 
+def latest_reports(reports: DataFrame) -> DataFrame:
+    """The latest report of each guide (by reported_at, then report_id)."""
+    return reports.where("guide_id IS NOT NULL").groupBy("guide_id").agg(F.max_by(F.struct("series_id", "issued_on", "columns_detected", "columns_mapped", "columns_unmapped"), F.struct("reported_at", "report_id")).alias("r")).select("guide_id", "r.*")
+
+
 def guides(reports: DataFrame) -> DataFrame:
     """(guide_id, series_id, issued_on, cols): one row for each guide, from its latest report (by reported_at, then report_id).
 
     cols is ARRAY<STRUCT<idx, label, field>>; field is the mapped field, null for an unmapped column. The detected labels
     less the unmapped ones line up with the mapped fields. Reports without guide or detected columns are left out.
     """
-    latest = reports.where("guide_id IS NOT NULL").groupBy("guide_id").agg(F.max_by(F.struct("series_id", "issued_on", "columns_detected", "columns_mapped", "columns_unmapped"), F.struct("reported_at", "report_id")).alias("r")).select("guide_id", "r.*")
+    latest = latest_reports(reports)
     unmapped = F.coalesce(F.col("columns_unmapped"), F.array().cast("array<string>"))
     mapped = F.coalesce(F.col("columns_mapped"), F.array().cast("array<string>"))
     latest = latest.where("columns_detected IS NOT NULL").withColumns({"u": unmapped, "m": mapped})
@@ -214,9 +219,32 @@ def changes(reports: DataFrame, cells: DataFrame) -> DataFrame:
     return links.select(F.col("later").alias("guide_id"), F.explode(kinds).alias("c")).select("guide_id", F.col("c.k").alias("change_kind"), F.col("c.l").alias("column_label")).distinct()
 
 
-def united(reports: DataFrame, cells: DataFrame) -> DataFrame:
+def every_cell(reports: DataFrame, cells: DataFrame, named: DataFrame) -> DataFrame:
+    """(series_id, guide_id, page, table_seq, row_seq, code, column_name, column_type, cell): all cells there are, header and section rows' too.
+
+    named: guide_id, idx, name. code is null in rows without one and in guides without a code column. A cell whose column
+    no report names is text under the label that its guide's first header row has there, or under none.
+    """
+    head = F.when(F.col("row_seq") == 0, F.struct("page", "table_seq"))
+    counted = cells.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("cells", head).alias("heads"))
+    series = latest_reports(reports).select(F.col("guide_id").alias("doc_id"), "series_id")
+    code_at = guides(reports).select(F.col("guide_id").alias("doc_id"), F.expr("try_element_at(filter(cols, c -> c.field = 'code'), 1).idx").alias("at"))
+    names = named.groupBy("guide_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "name"))).alias("names")).withColumnRenamed("guide_id", "doc_id")
+    entries = counted.join(series, "doc_id", "left").join(code_at, "doc_id", "left").join(names, "doc_id", "left").select(F.col("doc_id").alias("g"), F.struct("series_id", "at", "names", "heads").alias("about"), "n")
+    rows = skew.lookup(cells.select("doc_id", "page", "table_seq", "row_seq", "cells"), {"g": F.col("doc_id")}, entries, "about", "n", cells.count(), F.struct("page", "table_seq", "row_seq"))
+    code = F.get("cells", F.col("about.at"))
+    rows = rows.withColumn("code", F.when(code.rlike(CODE_FORM), F.upper(F.trim(code))))
+    long = rows.select(F.col("doc_id").alias("guide_id"), "page", "table_seq", "row_seq", "code", "about", F.posexplode("cells").alias("idx", "cell"))
+    long = long.withColumn("name", F.try_element_at("about.names", F.col("idx")))
+    label = F.coalesce("name.column_name", F.get("about.heads", F.col("idx")))
+    return long.select("about.series_id", "guide_id", "page", "table_seq", "row_seq", "code", label.alias("column_name"), F.coalesce("name.column_type", F.lit("text")).alias("column_type"), "cell")
+
+
+def united(reports: DataFrame, cells: DataFrame, every: bool = False) -> DataFrame:
     """(series_id, guide_id, page, table_seq, row_seq, dental_code, column_name, column_type, value, number, day): every
-    filled data cell under one name for its column throughout the series.
+    filled data cell under one name for its column throughout the series; with ``every``, all cells: value is null for
+    unfilled ones, dental_code null in rows without a code (see every_cell). Types and shares are those of filled data
+    cells either way.
 
     The name of a mapped column is its field; that of an unmapped one is its label in the first issue of the chain of
     corresponding columns. Chains are followed by pointer doubling. column_type is the chain's one type, "number" where
@@ -239,10 +267,13 @@ def united(reports: DataFrame, cells: DataFrame) -> DataFrame:
     numbers = F.size(F.array_except("kinds", F.array(*[F.lit(k) for k in ("whole", "decimal", "percent", "dollar")]))) == 0
     kinds = kinds.select("to_guide", "to_idx", F.when(F.size("kinds") == 1, F.element_at("kinds", 1)).when(numbers, F.lit("number")).otherwise(F.lit("text")).alias("column_type"))
     named = named.join(kinds, ["to_guide", "to_idx"]).select("guide_id", "idx", F.struct("series_id", "column_name", "column_type").alias("name"))
-    counted = long.groupBy("guide_id", "idx").agg(F.count(F.lit(1)).alias("n"))
-    entries = named.join(counted, ["guide_id", "idx"]).select(F.col("guide_id").alias("g"), F.col("idx").alias("i"), "name", "n")
-    rows = skew.lookup(long.select("guide_id", "page", "table_seq", "row_seq", "code", "idx", "cell"), {"g": F.col("guide_id"), "i": F.col("idx")}, entries, "name", "n", long.count(), F.struct("page", "table_seq", "row_seq"), how="inner")
-    value = F.trim("cell")
-    number = F.when(F.col("name.column_type") != "text", F.regexp_replace(value, r"[$,%\s]", "").try_cast("double"))
-    day = F.when(F.col("name.column_type") == "date", value.try_cast("date"))
-    return rows.select("name.series_id", "guide_id", "page", "table_seq", "row_seq", F.col("code").alias("dental_code"), "name.column_name", "name.column_type", value.alias("value"), F.when(F.col("name.column_type") != "date", number).alias("number"), day.alias("day"))
+    if every:
+        rows = every_cell(reports, cells, named)
+    else:
+        counted = long.groupBy("guide_id", "idx").agg(F.count(F.lit(1)).alias("n"))
+        entries = named.join(counted, ["guide_id", "idx"]).select(F.col("guide_id").alias("g"), F.col("idx").alias("i"), "name", "n")
+        rows = skew.lookup(long.select("guide_id", "page", "table_seq", "row_seq", "code", "idx", "cell"), {"g": F.col("guide_id"), "i": F.col("idx")}, entries, "name", "n", long.count(), F.struct("page", "table_seq", "row_seq"), how="inner").select("*", "name.*")
+    value = F.when(filled(F.col("cell")), F.trim("cell"))
+    number = F.when(F.col("column_type") != "text", F.regexp_replace(value, r"[$,%\s]", "").try_cast("double"))
+    day = F.when(F.col("column_type") == "date", value.try_cast("date"))
+    return rows.select("series_id", "guide_id", "page", "table_seq", "row_seq", F.col("code").alias("dental_code"), "column_name", "column_type", value.alias("value"), F.when(F.col("column_type") != "date", number).alias("number"), day.alias("day"))

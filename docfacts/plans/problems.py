@@ -31,7 +31,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_cells(spark: SparkSession, d: str) -> DataFrame:
-    return drift.united(table(spark, d, "extraction_report"), table(spark, d, "guide_cells"))
+    return drift.united(table(spark, d, "extraction_report"), table(spark, d, "guide_cells"), every=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_nodes, p4_found, p5_found, p5_cells)}

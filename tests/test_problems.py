@@ -128,6 +128,24 @@ def test_drift_between_issues(spark):
     assert drift.changes(reports.limit(0), cells.limit(0)).count() == 0
 
 
+def test_all_cells_are_united(spark):
+    from datetime import datetime as dt
+
+    day = lambda m: dt(2030, m, 1)
+    reports = spark.createDataFrame([
+        (1, 10, "s", day(1), day(1), ["Code", "Fee"], ["code"], ["Fee"], 0), (2, 20, "s", day(2), day(2), ["F E E", "Code"], ["code"], ["F E E"], 0),
+        (3, 30, "t", day(3), day(3), ["Fee"], [], ["Fee"], 0), (4, 40, "u", day(4), day(4), None, None, None, 0),
+    ], REPORT)
+    rows = {10: [["Code", "Fee"], ["D0100", "1"], ["D0101", " n/a"], ["Section", ""]], 20: [["F E E", "Code"], ["-", "D0100"], [None, "D0101"], ["2", "D0102", "beyond"]], 30: [["Fee"], ["7"]], 40: [["Fee"], ["7"]], 50: [["Fee"], ["7"]]}
+    cells = spark.createDataFrame([(g, 1, 0, i, c) for g, table in rows.items() for i, c in enumerate(table)] + [(10, 1, 0, 9, None)], "doc_id long, page int, table_seq int, row_seq int, cells array<string>")
+    got = [r for r in drift.united(reports, cells, every=True).collect()]
+    assert len(got) == sum(len(c) for table in rows.values() for c in table)
+    of = {(r["guide_id"], r["row_seq"], r["column_name"]): (r["series_id"], r["dental_code"], r["value"], r["number"]) for r in got}
+    assert of[10, 1, "Fee"] == ("s", "D0100", "1", 1.0) and of[10, 2, "Fee"] == ("s", "D0101", None, None) and of[10, 3, "Fee"] == ("s", None, None, None) and of[10, 3, "code"] == ("s", None, "Section", None)
+    assert of[20, 1, "Fee"] == of[20, 2, "Fee"][:1] + ("D0100", None, None) and of[20, 3, "Fee"] == ("s", "D0102", "2", 2.0) and of[20, 3, None] == ("s", "D0102", "beyond", None)
+    assert of[30, 1, "Fee"][:3] == ("t", None, "7") and of[40, 1, "Fee"][:3] == ("u", None, "7") and of[50, 1, "Fee"][:3] == (None, None, "7")
+
+
 def test_flooding_converges_and_prefers_like_neighbours():
     start = np.array([[1.0, 0, 0], [0, 0.4, 0.4], [0, 0, 1.0]])
     score = drift.flood(start, ["text", "whole", "text"], ["text", "whole", "text"])

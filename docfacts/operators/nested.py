@@ -404,12 +404,12 @@ def linked_rows(deliveries: DataFrame, run_col: str = "run_id", id_col: str = "d
     may be a list, an object by package id or a single package, in the root or under "result", and the payload may be a
     JSON string that holds the JSON. Missing, null and empty optional fields give no row; null elements give none and keep
     their place. A run delivered again counts once: its latest complete delivery that holds a package (by time, null first, then id). Null,
-    empty and incomplete payloads give nothing. Rows without a run id are kept, as one run. Columns besides the four named
+    empty and incomplete payloads give nothing. Each delivery without a run id is a run of its own. Columns besides the four named
     ones are not read.
     """
     keyed = deliveries.select(F.col(run_col).alias("run"), F.struct(F.col(time_col).alias("t"), F.col(id_col).alias("i")).alias("delivery"), F.col(payload).alias("payload"))
     rows = durable(by_batch(keyed, ["run", "delivery"], "payload", "ordinal int, package_id string, kind string, pos int, sub_pos int, item string", package_rows))
-    latest = rows.groupBy("run").agg(F.max("delivery").alias("latest"))
+    latest = rows.where("run IS NOT NULL").groupBy("run").agg(F.max("delivery").alias("latest"))
     rows = rows.withColumnRenamed("run", "run_")
-    kept = rows.join(latest, rows["run_"].eqNullSafe(latest["run"]) & (F.col("delivery") == F.col("latest")), "left_semi")
+    kept = rows.join(latest, (F.col("run_") == F.col("run")) & (F.col("delivery") == F.col("latest")), "left_semi").union(rows.where("run_ IS NULL"))
     return kept.select(F.col("run_").alias(run_col), "ordinal", "package_id", "kind", "pos", "sub_pos", "item").distinct()

@@ -65,6 +65,11 @@ def test_a_run_delivered_again_counts_once_by_its_latest_complete_delivery(spark
     assert linked(spark, [("a", payload())] * 3) == {("a", 1, "p", "package", 0, 0, "p")}
 
 
+def test_deliveries_without_a_run_id_are_not_one_run(spark):
+    got = linked(spark, [(None, payload(benefit_domains=["x"])), (None, payload(benefit_domains=["y"])), ("a", payload(benefit_domains=["old"])), ("a", payload(benefit_domains=["new"]))])
+    assert {(r[0], r[6]) for r in got if r[3] == "benefit_domain"} == {(None, "x"), (None, "y"), ("a", "new")}
+
+
 def test_all_nodes_are_linked(spark):
     df = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}]}', 5), (2, "{", 6), (3, None, 7)], "id long, payload string, node long")
     got = [tuple(r) for r in nested.nodes(df, ["id"], "payload").orderBy("node").collect()]

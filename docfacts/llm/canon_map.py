@@ -27,6 +27,8 @@ LEAST_SIMILARITY = 0.65
 #: Words that join names, and words that are written round a heading.
 JOINING = frozenset("and of the for to in y et und de".split())
 AROUND = frozenset("cont continued see note notes sec section class item no p page part misc rev new old benefits benefit coverage".split())
+#: Rank of what is no mention.
+NO_RANK = (0, 0, 0)
 VOWELS = re.compile(r"[aeiou]")
 
 
@@ -102,20 +104,17 @@ class Names:
                         rank = (0 if key == form else 1, term_id)
                         if key not in forms or rank < forms[key]:
                             forms[key] = rank
-        for key, (_, term_id) in forms.items():
-            self.automaton.add_word(f" {key} ", (len(key), term_id))
+        for key, (other, term_id) in forms.items():
+            self.automaton.add_word(f" {key} ", (len(key), other, term_id))
         self.automaton.make_automaton()
 
-    def mention(self, text: str) -> int | None:
-        """The entry of the longest mention; of equally long ones the first."""
+    def mention(self, text: str) -> tuple[tuple[int, int, int], int] | None:
+        """(rank, entry) of the longest mention; of equally long ones the first. rank: length, and with less for a later place and another form."""
         if not len(self.automaton):
             return None
-        spans = [(end - n, n, term_id) for end, (n, term_id) in self.automaton.iter(f" {text} ")]
-        taken: list[tuple[int, int, int]] = []
-        for at, n, term_id in sorted(spans, key=lambda s: (-s[1], s[0])):
-            if all(at >= b + m or at + n <= b for b, m, _ in taken):
-                taken.append((at, n, term_id))
-        return taken[0][2] if taken else None
+        spans = [(n, n - end, -other, term_id) for end, (n, other, term_id) in self.automaton.iter(f" {text} ")]
+        best = max(spans, key=lambda s: s[:2], default=None)
+        return (best[:3], best[3]) if best else None
 
     def similar(self, text: str) -> tuple[float, int]:
         """(similarity, entry) of the closest name; equal similarity: the smaller id."""
@@ -155,14 +154,14 @@ class Names:
         d = distance(text, name, most)
         return 1 - d / n if d <= most else 0.0
 
-    def entry(self, value: str, least: float) -> tuple[float, int]:
-        """(score, term) of a value: mentions score by their length over 1, similar names below it."""
+    def entry(self, value: str, least: float) -> tuple[float, tuple[int, int, int], int]:
+        """(score, rank, term) of a value: a mention scores 1 and ranks above a similar name, whose rank is all 0."""
         text = normal(value)
         found = self.mention(text)
         if found is not None:
-            return 1.0, found
+            return 1.0, *found
         score, term_id = self.similar(text) if text else (0.0, -1)
-        return (score, term_id) if score >= least else (0.0, -1)
+        return (score, NO_RANK, term_id) if score >= least else (0.0, NO_RANK, -1)
 
 
 def map_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SIMILARITY, block: int = BLOCK_NAMES) -> DataFrame:
@@ -170,7 +169,7 @@ def map_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SIMILAR
 
     terms: term_id, list_name, term, aliases. A value is compared with the names of the list called like its src. The
     names go to the workers in blocks of ``block`` names, so their size is bounded however long the list is; of several
-    blocks the best score counts, then the smaller id. Null values are left out.
+    blocks the best score counts, then the longer mention, the earlier one, the form as written, the smaller id: the result of one block. Null values are left out.
     """
     names = terms.select("list_name", "term_id", F.explode(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name IS NOT NULL AND term_id IS NOT NULL AND list_name IS NOT NULL").distinct()
     names = names.withColumn("block", (F.row_number().over(_by_name()) / F.lit(block + 1)).cast("int"))
@@ -183,14 +182,14 @@ def map_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SIMILAR
         def run(batches: Iterator[pd.DataFrame], part: list[tuple[str, int, str]] = part) -> Iterator[pd.DataFrame]:
             lists = {src: Names((i, n) for s, i, n in part if s == src) for src in {s for s, _, _ in part}}
             for pdf in batches:
-                got = [lists[s].entry(v, least) if s in lists else (0.0, -1) for s, v in zip(pdf["src"], pdf["entered"])]
-                yield pdf.assign(score=[g[0] for g in got], term_id=[g[1] for g in got])
+                got = [lists[s].entry(v, least) if s in lists else (0.0, NO_RANK, -1) for s, v in zip(pdf["src"], pdf["entered"])]
+                yield pdf.assign(score=[g[0] for g in got], length=[g[1][0] for g in got], place=[g[1][1] for g in got], form=[g[1][2] for g in got], term_id=[g[2] for g in got])
 
-        schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("entered", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("term_id", T.LongType())])
+        schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("entered", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField(k, T.IntegerType()) for k in ("length", "place", "form")], T.StructField("term_id", T.LongType())])
         mapped = distinct.mapInPandas(run, schema)
         out = mapped if out is None else out.union(mapped)
     if n_blocks > 1:
-        out = out.groupBy("src", "entered").agg(F.max_by("term_id", F.struct("score", -F.col("term_id"))).alias("term_id"))
+        out = out.groupBy("src", "entered").agg(F.max_by("term_id", F.struct("score", "length", "place", "form", -F.col("term_id"))).alias("term_id"))
     return out.select("src", "entered", "term_id")
 
 

@@ -87,6 +87,14 @@ def test_distance_counts_swaps():
         assert canon_map.distance(a, b, 3) == min(slow(a, b), 4)
 
 
+def test_blocks_of_names_give_the_result_of_one_block(spark):
+    names = [(1, "Caps"), (2, "Crown"), (3, "Full Dentures"), (4, "Partial Dentures"), (5, "Crown Repairs"), (6, "Denture"), (7, "Dentures")]
+    terms = spark.createDataFrame([(i, "group", n, None) for i, n in names], "term_id long, list_name string, term string, aliases array<string>")
+    values = spark.createDataFrame([("group", v) for v in ("caps and crown repairs", "caps, partial dentures", "x crown y caps", "partial dentures full", "dentures", "denture", "prtial dentrs", "strange")], "src string, entered string")
+    one, many = ({tuple(r) for r in canon_map.map_values(values, terms, block=b).collect()} for b in (50, 1))
+    assert one == many and {("group", "caps and crown repairs", 5), ("group", "x crown y caps", 2), ("group", "dentures", 7)} <= one
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 LOOK = ["café au lait", "café au lait", "ｃａｆé au lait", "café au　lait", "ca​fé﻿ au lait", "саfé аu lаit", "𝐜𝐚fé au lait", "ca­fé au lait"]

@@ -1,4 +1,4 @@
-"""SQL with the results of p2_found and p5_found."""
+"""SQL with the results of the queries of problems 2, 4 and 5."""
 
 from __future__ import annotations
 
@@ -37,6 +37,18 @@ al AS (
 newest AS (SELECT *, rank() OVER (PARTITION BY run_id ORDER BY received_at DESC NULLS LAST, delivery_id DESC) AS r FROM al WHERE item IS NOT NULL)
 SELECT DISTINCT run_id, ordinal, package_id, kind, CAST(pos AS INT) AS pos, CAST(sub_pos AS INT) AS sub_pos, item FROM newest WHERE r = 1"""
 
+P2_NODES = """
+WITH raw AS (SELECT delivery_id, payload::JSON AS j FROM service_output WHERE payload IS NOT NULL AND json_valid(payload)),
+text AS (
+  SELECT delivery_id, 0 AS layer, j FROM raw
+  UNION ALL SELECT delivery_id, 1, (j ->> '$')::JSON FROM raw WHERE json_type(j) = 'VARCHAR' AND json_valid(j ->> '$')),
+t AS (SELECT delivery_id, layer, x.id, x.parent AS up, x.key, x.type, x.value FROM text, json_tree(text.j) x),
+n AS (SELECT *, row_number() OVER (PARTITION BY delivery_id, layer ORDER BY id) - 1 AS node, row_number() OVER (PARTITION BY delivery_id, layer, up ORDER BY id) - 1 AS pos FROM t)
+SELECT n.delivery_id, n.layer, n.node, p.node AS parent, CASE WHEN p.type = 'OBJECT' THEN n.key END AS name, n.pos,
+  CASE n.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind,
+  CASE WHEN n.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN n.value ->> '$' END AS value
+FROM n LEFT JOIN n p ON p.delivery_id = n.delivery_id AND p.layer = n.layer AND p.id = n.up"""
+
 _TYPE = r"CASE WHEN regexp_full_match(v, '[+-]?\d+') THEN 'whole' WHEN regexp_full_match(v, '[+-]?\d+\.\d+') THEN 'decimal' WHEN regexp_full_match(v, '[+-]?\d+(\.\d+)?\s*%') THEN 'percent' WHEN v LIKE '$%' THEN 'dollar' WHEN regexp_full_match(v, '\d{4}-\d{2}-\d{2}') THEN 'date' ELSE 'text' END"
 
 P5 = rf"""
@@ -63,4 +75,4 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT mt.later, 'renamed', b.label FROM mt JOIN ct a ON a.guide_id = mt.earlier AND a.idx = mt.i JOIN ct b ON b.guide_id = mt.later AND b.idx = mt.j WHERE a.bare <> b.bare
   UNION ALL SELECT mt.later, 'retyped', b.label FROM mt JOIN ct a ON a.guide_id = mt.earlier AND a.idx = mt.i JOIN ct b ON b.guide_id = mt.later AND b.idx = mt.j WHERE a.t <> b.t)"""
 
-SQL: dict[str, str] = {"p2_found": P2, "p5_found": P5}
+SQL: dict[str, str] = {"p2_found": P2, "p2_nodes": P2_NODES, "p5_found": P5}

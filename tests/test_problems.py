@@ -72,11 +72,56 @@ def test_deliveries_without_a_run_id_are_not_one_run(spark):
 
 def test_all_nodes_are_linked(spark):
     df = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}]}', 5), (2, "{", 6), (3, None, 7)], "id long, payload string, node long")
-    got = [tuple(r) for r in nested.nodes(df, ["id"], "payload").orderBy("node").collect()]
-    kinds = [(r[3], r[4], r[5], r[6]) for r in got]
+    got = [r for r in nested.nodes(df, ["id"], "payload").orderBy("node").collect()]
+    kinds = [(r["name"], r["pos"], r["kind"], r["value"]) for r in got]
     assert kinds == [(None, 0, "object", None), ("a", 0, "array", None), (None, 0, "number", "1"), (None, 1, "object", None), ("b", 0, "string", "x")]
-    parents = {r[1]: r[2] for r in got}
-    assert [parents[r[1]] for r in got] == [None, got[0][1], got[1][1], got[1][1], got[3][1]]
+    parents = {r["node"]: r["parent"] for r in got}
+    assert [parents[k] for k in range(5)] == [None, 0, 1, 1, 3]
+
+
+def test_bad_values_in_a_record_end_nothing(spark):
+    start = lambda x: json.dumps({"packages": [{"package_id": "p", "premium": {"evidence": {"start": 0}}}]}).replace(": 0}", f": {x}}}")
+    layers = payload()
+    for _ in range(6):
+        layers = json.dumps(layers)
+    rows = [
+        ("int", '{"packages": [{"package_id": "p", "ordinal": 2147483648}, {"package_id": "q", "ordinal": -2147483647.0}]}'), ("lone", r'{"packages": [{"package_id": "\ud800 \ud83d\ude00 \\ud800 \udc00\udc01"}]}'),
+        ("ten", '{"packages": ' + "[" * 10 + '{"package_id": ' + "[" * 10 + '"p"' + "]" * 10 + "}" + "]" * 10 + "}"), ("layers", layers), ("big", start("1e16")), ("huge", start("1e400")), ("long", start("9" * 400)), ("part", start("1.5e0")), ("deep", "[" * 30_000 + "]" * 30_000),
+        ("twice", '{"packages": [{"package_id": "a", "package_id": "b", "services": [{"service_id": "x"}], "services": null}]}'), ("slash", '{"packages": "\\'), ("after", payload()),
+    ]
+    got = linked(spark, rows)
+    of = lambda run: {r[1:3] + r[3:4] + r[6:] for r in got if r[0] == run}
+    assert of("int") == {(None, "p", "package", "p"), (-2147483647, "q", "package", "q")}
+    assert {r[3] for r in of("lone")} == {"\ufffd \U0001f600 \\ud800 \ufffd\ufffd"}
+    assert of("ten") == {(None, "p", "package", "p")} and of("layers") == {(1, "p", "package", "p")} == of("after")
+    assert {r[3] for r in of("big")} == {"p", "1" + "0" * 16} and {r[3] for r in of("huge")} == {"p"} == {r[3] for r in of("part")} and {r[3] for r in of("long")} == {"p", "9" * 400}
+    assert of("twice") == {(None, "b", "package", "b")} and not of("deep") and not of("slash")
+
+
+def test_texts_and_names_are_those_of_a_json_reader():
+    rng = random.Random(8)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind < 3:
+            return "".join(rng.choice('ab"\\/\n\té€\U0001f600{}[],: ') for _ in range(rng.randrange(6)))
+        if kind < 5:
+            return rng.choice([None, True, False, 0, -3, 12345678901234567890])
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 5 else {value(0) if rng.random() < 0.2 else rng.choice("kmn"): value(depth - 1) for _ in range(rng.randrange(4))} | {"z": 1}
+
+    values = [json.loads(json.dumps({str(k): v for k, v in enumerate([value(4)])})) for _ in range(300)]
+    index = index_of([json.dumps(v, ensure_ascii=rng.random() < 0.5) for v in values])
+
+    def walk(v, name, out):
+        kind = isinstance(v, (dict, list))
+        out.append((name, None if kind or v is None else v if isinstance(v, str) else json.dumps(v)))
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
+            walk(x, k if isinstance(v, dict) else None, out)
+        return out
+
+    names = index.names.to_pylist()
+    got = [(names[k] if k >= 0 else None, t) for k, t in zip(index.key[index.nodes].tolist(), index.texts(index.nodes).to_pylist())]
+    assert index.complete.all() and got == [x for v in values for x in walk(v, None, [])]
 
 
 def test_conversion_graph_composes_and_checks_cycles():

@@ -28,7 +28,7 @@ OPEN_OBJECT, CLOSE_OBJECT, OPEN_ARRAY, CLOSE_ARRAY = 123, 125, 91, 93
 STRING, SCALAR = 1, 2
 SCALAR_FORM = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
 #: Bytes of payload indexed at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def _table(chars: bytes, value: int = 1) -> np.ndarray:
@@ -43,6 +43,11 @@ HEX[list(b"0123456789abcdef")] = range(16)
 HEX[list(b"ABCDEF")] = range(10, 16)
 
 
+def _rows(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The text that each place of the buffer lies in."""
+    return np.searchsorted(offsets, at, "right") - 1
+
+
 class Index:
     """The structure of many JSON texts in one buffer.
 
@@ -55,29 +60,29 @@ class Index:
     def __init__(self, raw: bytes, offsets: np.ndarray):
         b = np.frombuffer(raw, np.uint8)
         n, docs = len(b), len(offsets) - 1
-        doc_of = np.repeat(np.arange(docs, dtype=np.int32), np.diff(offsets))
         bad = np.zeros(docs, bool)
         slashes = np.flatnonzero(b == BACKSLASH)
         quote = b == QUOTE
         if len(slashes):
-            escaped, raw, b = self._escapes(raw, b, slashes, offsets, doc_of, bad)
+            escaped, raw, b = self._escapes(raw, b, slashes, offsets, bad)
             quote[escaped] = False
         self.raw = raw
-        quotes = np.zeros(n + 1, np.int32)
-        np.cumsum(quote, out=quotes[1:])
-        odd = (quotes[offsets[1:]] - quotes[offsets[:-1]]) & 1
-        inside = ((quotes[1:] - quotes[offsets[:-1]][doc_of]) & 1).astype(bool)  # opening quote in, closing out
+        begins, stops = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0]
+        parity = np.concatenate(([False], np.logical_xor.accumulate(quote)))
+        inside = parity[1:] ^ np.repeat(parity[begins], stops - begins)  # opening quote in, closing out
+        odd = parity[offsets[1:]] ^ parity[offsets[:-1]]
         text = inside | quote
         structural = STRUCTURAL[b] & ~text
         plain = ~(text | structural | SPACE[b])
-        head = np.ones(n, bool)
-        head[1:] = ~plain[:-1]
-        head[offsets[:-1][offsets[:-1] < n]] = True
-        scalar_start = plain & head
+        head, tail = plain.copy(), plain.copy()
+        head[1:] &= ~plain[:-1]
+        tail[:-1] &= ~plain[1:]
+        head[begins], tail[stops - 1] = plain[begins], plain[stops - 1]
         opening = quote & inside
-        self.start = np.flatnonzero(structural | scalar_start | opening)
-        self.kind = np.where(opening[self.start], STRING, np.where(scalar_start[self.start], SCALAR, b[self.start])).astype(np.uint8)
-        self.doc = doc_of[self.start]
+        self.start = np.flatnonzero(structural | head | opening)
+        self.kind = np.where(opening[self.start], STRING, np.where(head[self.start], SCALAR, b[self.start])).astype(np.uint8)
+        first, after_last = np.searchsorted(self.start, offsets[:-1]), np.searchsorted(self.start, offsets[1:])
+        self.doc = np.repeat(np.arange(docs), after_last - first)
         m = len(self.start)
         self.end = self.start + 1
         closing = np.flatnonzero(quote & ~inside)
@@ -86,17 +91,13 @@ class Index:
             where = np.searchsorted(closing, self.start[strings])
             ok = where < len(closing)
             self.end[strings[ok]] = closing[where[ok]] + 1
-        tail = np.ones(n, bool)
-        tail[:-1] = ~plain[1:]
-        tail[offsets[1:][offsets[1:] > 0] - 1] = True
         scalars = np.flatnonzero(self.kind == SCALAR)
-        self.end[scalars] = np.flatnonzero(plain & tail) + 1
-        bad[doc_of[np.flatnonzero(inside & ~quote & (b < 32))]] = True
+        self.end[scalars] = np.flatnonzero(tail) + 1
+        control = np.flatnonzero(b < 32)
+        bad[_rows(offsets, control[inside[control]])] = True
         opener = (self.kind == OPEN_OBJECT) | (self.kind == OPEN_ARRAY)
         closer = (self.kind == CLOSE_OBJECT) | (self.kind == CLOSE_ARRAY)
         depth_sum = np.concatenate(([0], np.cumsum(opener.astype(np.int64) - closer)))
-        first = np.searchsorted(self.doc, np.arange(docs))
-        after_last = np.searchsorted(self.doc, np.arange(docs), "right")
         depth = depth_sum[1:] - depth_sum[first[self.doc]] if m else depth_sum[1:]
         level = np.where(opener, depth - 1, np.where(closer, depth + 1, depth))  # number of openers the token stands under
         bad |= odd.astype(bool) | (after_last == first) | (depth_sum[after_last] != depth_sum[first])
@@ -121,20 +122,24 @@ class Index:
         self._link(bad, level)
 
     @staticmethod
-    def _escapes(raw: bytes, b: np.ndarray, slashes: np.ndarray, offsets: np.ndarray, doc_of: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
+    def _escapes(raw: bytes, b: np.ndarray, slashes: np.ndarray, offsets: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, bytes, np.ndarray]:
         """(places of escaped bytes, the buffer with U+FFFD for unpaired surrogates, its array); marks texts with escapes that don't exist."""
+        doc = _rows(offsets, slashes)
         heads = np.ones(len(slashes), bool)
-        heads[1:] = (np.diff(slashes) > 1) | (doc_of[slashes[1:]] != doc_of[slashes[:-1]])
+        heads[1:] = (np.diff(slashes) > 1) | (doc[1:] != doc[:-1])
         run = slashes[heads][np.cumsum(heads) - 1]
-        escaped = slashes[(slashes - run) % 2 == 0] + 1
-        escaped = escaped[escaped < offsets[1:][doc_of[escaped - 1]]]
-        bad[doc_of[escaped[~ESCAPES[b[escaped]]]]] = True
-        units = escaped[b[escaped] == ord("u")]
-        short = units + 4 >= offsets[1:][doc_of[units]]
-        bad[doc_of[units[short]]] = True
-        units = units[~short]
+        first = (slashes - run) % 2 == 0
+        escaped, doc = slashes[first] + 1, doc[first]
+        there = escaped < offsets[1:][doc]
+        escaped, doc = escaped[there], doc[there]
+        bad[doc[~ESCAPES[b[escaped]]]] = True
+        unit = b[escaped] == ord("u")
+        units, doc = escaped[unit], doc[unit]
+        short = units + 4 >= offsets[1:][doc]
+        bad[doc[short]] = True
+        units, doc = units[~short], doc[~short]
         digits = np.stack([HEX[b[units + k]] for k in (1, 2, 3, 4)]) if len(units) else np.zeros((4, 0), np.uint8)
-        bad[doc_of[units[(digits > 15).any(0)]]] = True
+        bad[doc[(digits > 15).any(0)]] = True
         top = (digits[0].astype(np.int32) << 8) | (digits[1] << 4) | digits[2]
         high, low = (top & 0xFC0) == 0xD80, (top & 0xFC0) == 0xDC0
         pair = high[:-1] & low[1:] & (np.diff(units) == 6)
@@ -217,6 +222,12 @@ class Index:
             np.add.at(edge, close[members[gone]] + 1, -1)
             self.nodes = self.nodes[np.cumsum(edge)[self.nodes] == 0]
         self.alone = self._alone()
+        self.under = self.nodes[self.parent[self.nodes] >= 0]
+        own = self.nodes[self.key[self.nodes] >= 0]
+        keys = self.key[own]
+        self.by_key = own[np.argsort(keys.astype(np.uint16) if len(self.names) < 1 << 16 else keys, kind="stable")]
+        self.key_ends = np.cumsum(np.bincount(keys, minlength=len(self.names)))
+        self.row = np.full(m + 1, -1, np.int64)
 
     def _alone(self) -> np.ndarray:
         """For each token what it stands for where a single value is usual: itself, of a list of one the element (however deep), of other lists and null -1."""
@@ -275,18 +286,19 @@ class Index:
     # -- moving from nodes to nodes; each returns (row of the given nodes, node) -----------------------------------
     def members(self, at: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
         """Members of a name under the given objects."""
-        number = pc.index(self.names, name).as_py() if len(self.names) else -1
-        return self._under(at, self.nodes[self.key[self.nodes] == number] if number >= 0 else self.nodes[:0])
+        k = pc.index(self.names, name).as_py() if len(self.names) else -1
+        return self._under(at, self.by_key[self.key_ends[k - 1] if k else 0 : self.key_ends[k]] if k >= 0 else self.nodes[:0])
 
     def children(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All direct children of the given openers, in order."""
-        return self._under(at, self.nodes[self.parent[self.nodes] >= 0])
+        return self._under(at, self.under)
 
     def _under(self, at: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.full(len(self.kind) + 1, -1, np.int64)
-        row[at] = np.arange(len(at))
-        rows = row[self.parent[nodes]]
-        return rows[rows >= 0], nodes[rows >= 0]
+        self.row[at] = np.arange(len(at))
+        rows = self.row[self.parent[nodes]]
+        self.row[at] = -1
+        there = rows >= 0
+        return rows[there], nodes[there]
 
     def single(self, at: np.ndarray) -> np.ndarray:
         """A list of one is its element; lists of another length and null become -1."""

@@ -13,7 +13,9 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfacts.functions.tables import durable, spread
 from docfacts.functions.textfold import plain_text
+from docfacts.operators import skew
 
 #: An edge: source, target, factor, offset: target = source * factor + offset.
 Edge = tuple[str, str, Fraction, Fraction]
@@ -22,6 +24,10 @@ Edge = tuple[str, str, Fraction, Fraction]
 RATE_EDGES: list[Edge] = [(a, "year", Fraction(n), Fraction(0)) for a, n in (
     ("half_year", 2), ("quarter", 4), ("month", 12), ("half_month", 24), ("two_weeks", 26), ("week", 52), ("day", 365),
 )]
+#: Scales on which a moment is counted; those of days begin at different days.
+MOMENT_EDGES: list[Edge] = [
+    ("unix_second", "unix_day", Fraction(1, 86_400), Fraction(0)), ("unix_day", "julian_day", Fraction(1), Fraction(4_881_175, 2)), ("sheet_day", "unix_day", Fraction(1), Fraction(-25_569)),
+]
 #: Money scales.
 MONEY_EDGES: list[Edge] = [("dollar", "cent", Fraction(100), Fraction(0)), ("hundred_dollars", "dollar", Fraction(100), Fraction(0))]
 
@@ -57,6 +63,8 @@ def compose(edges: list[Edge]) -> dict[tuple[str, str], tuple[Fraction, Fraction
 def conversion_table(spark: SparkSession, edges: list[Edge], target: str) -> DataFrame:
     """(unit, target, num, den, off_num, off_den): how to reach the target; one row for each unit of the graph."""
     rows = [(a, b, k.numerator, k.denominator, c.numerator, c.denominator) for (a, b), (k, c) in compose(edges).items() if b == target]
+    if any(max(abs(p * s), abs(q * r), q * s) >= 10**12 for _, _, p, q, r, s in rows):
+        raise ValueError(f"a conversion to {target} has a factor of more than twelve digits")
     return spark.createDataFrame(rows, "unit string, target string, num bigint, den bigint, off_num bigint, off_den bigint")
 
 
@@ -64,17 +72,21 @@ def convert(df: DataFrame, table: DataFrame, unit: str, num: Column, den: Column
     """df with ``out`` = the quantity num / den of column ``unit`` in the table's target, as BIGINT, halves rounded up.
 
     The table has one row for each unit of a fixed graph, which bounds the broadcast. Rows whose unit is null or not
-    in the graph, or whose quantity is null, negative or has no positive denominator, are left out.
+    in the graph, whose quantity is null or has no positive denominator, or whose result is negative or beyond BIGINT
+    (9.2e18 or more), are left out. The arithmetic is exact: integers of up to 38 digits.
     """
-    wide = "decimal(20,0)"
     joined = df.join(F.broadcast(table.withColumnRenamed("unit", "__u")), F.col(unit) == F.col("__u"))
-    joined = joined.withColumns({"__n": num.cast(wide), "__d": den.cast(wide)}).where("__n >= 0 AND __d > 0")
+    joined = joined.withColumns({"__n": num.try_cast("decimal(24,0)"), "__d": den.try_cast("decimal(24,0)")}).where("__d > 0")
+    about = "(cast(__n AS double) / cast(__d AS double)) * (cast(num AS double) / den) + cast(off_num AS double) / off_den"
+    joined = joined.where(f"abs({about}) < 9.2e18 AND __n * cast(num * off_den AS decimal(12,0)) + __d * cast(den * off_num AS decimal(12,0)) >= 0")
     joined = joined.withColumns({
-        "__top": F.expr("__n * cast(num * off_den as decimal(9,0)) + __d * cast(den * off_num as decimal(9,0))"),
-        "__bottom": F.expr("__d * cast(den * off_den as decimal(9,0))"),
+        "__top": F.expr("__n * cast(num * off_den AS decimal(12,0)) + __d * cast(den * off_num AS decimal(12,0))"),
+        "__bottom": F.expr("__d * cast(den * off_den AS decimal(12,0))"),
     })
-    out_col = F.expr("(2 * __top + __bottom) div (2 * __bottom)")
-    return joined.withColumn(out, out_col).drop("__u", "__n", "__d", "__top", "__bottom", "target", "num", "den", "off_num", "off_den")
+    # The remainder decides on rounding; doubling the numerator could pass 38 digits.
+    rest = F.expr("CASE WHEN (__top % __bottom) >= __bottom - (__top % __bottom) THEN 1 ELSE 0 END")
+    result = (F.expr("__top div __bottom") + rest).alias(out)
+    return joined.select(*df.columns, result)
 
 
 # -- reading quantities from text ------------------------------------------------------------------------------------
@@ -86,6 +98,8 @@ NUMBER_WORDS = {w: n for n, ws in {
     13: "thirteen", 14: "fourteen", 15: "fifteen quince", 16: "sixteen", 17: "seventeen", 18: "eighteen dieciocho", 19: "nineteen", 20: "twenty veinte", 24: "veinticuatro",
     30: "thirty treinta", 40: "forty cuarenta", 50: "fifty cincuenta", 60: "sixty sesenta", 70: "seventy", 80: "eighty", 90: "ninety",
 }.items() for w in ws.split()}
+#: Numbers of services and spans; one of more digits is beyond every result.
+WIDE = "decimal(22,0)"
 #: Ordinal words.
 ORDINAL_WORDS = {"other": 2, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "tenth": 10}
 #: Spellings of the spans of time.
@@ -116,14 +130,21 @@ def _map(values: dict[str, object]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+#: Marks behind tens and in front of units that were written as words; only such are joined.
+TENS_MARK, UNIT_MARK = "\u0001", "\u0002"
+
+
 def normal_words(text: Column) -> Column:
     """Plain characters, lower case, single blanks, numbers in digits: "One (1) per twenty-four months" is "1 per 24 months"."""
-    t = F.trim(F.regexp_replace(F.lower(plain_text(text)), r"(?U)[\s_]+", " "))
-    words = F.split(t, r"(?U)(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})")
-    numbers = _map({w: str(n) for w, n in (NUMBER_WORDS | ORDINAL_WORDS).items()})
-    t = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(numbers, w), w)), "")
-    t = F.regexp_replace(t, r"\b([2-9])0[- ]([1-9])\b(?!\d)", "$1$2")
-    return F.regexp_replace(t, r"\b(\d+) \(\1\)", "$1")
+    t = F.translate(F.lower(plain_text(text)), TENS_MARK + UNIT_MARK, "")
+    t = F.trim(F.regexp_replace(t, r"[\s\x{85}\x{2028}\x{2029}_]+", " "))
+    digits = {w: f"{n}{TENS_MARK}" if n in range(20, 100, 10) else f"{UNIT_MARK}{n}" if n < 10 else str(n) for w, n in NUMBER_WORDS.items()}
+    digits |= {w: str(n) for w, n in ORDINAL_WORDS.items()}
+    numbers = _map(digits)
+    words = F.regexp_extract_all(t, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    t = F.array_join(F.transform(words, lambda w: F.when(w.isin(*digits), F.try_element_at(numbers, w)).otherwise(w)), "")
+    t = F.regexp_replace(t, f"([2-9])0{TENS_MARK}[- ]{UNIT_MARK}([1-9])", "$1$2")
+    return F.regexp_replace(F.translate(t, TENS_MARK + UNIT_MARK, ""), r"\b(\d+) \(\1\)", "$1")
 
 
 def _groups(form: str, n: int) -> Column:
@@ -132,7 +153,7 @@ def _groups(form: str, n: int) -> Column:
 
 
 def read_rate(df: DataFrame, text: str) -> DataFrame:
-    """df with services, spans BIGINT and span STRING read from a limit's wording; null where it states no number per span.
+    """df with services, spans DECIMAL and span STRING read from a limit's wording; null where it states no number per span.
 
     The first number with a span counts, else a span alone that begins the text, which allows one service. Conditions
     that follow (teeth, codes, ages, gaps, sums) aren't looked at.
@@ -149,7 +170,7 @@ def read_rate(df: DataFrame, text: str) -> DataFrame:
     counted = F.coalesce(F.col("__c"), F.lit("")) != ""
     unit = F.coalesce(F.try_element_at(adverb_unit, F.col("__adv")), F.try_element_at(spans, F.when(counted, F.col("__u")).otherwise(F.col("__su"))))
     number = F.coalesce(F.try_element_at(adverb_n, F.col("__adv")), F.when(counted, F.nullif(F.col("__n"), F.lit(""))).otherwise(F.nullif(F.col("__sn"), F.lit(""))), F.lit("1"))
-    df = df.withColumns({"services": F.when(unit.isNotNull(), F.when(counted, F.try_to_number("__c", F.lit("999999999"))).otherwise(F.lit(1))).cast("bigint"), "spans": F.try_to_number(number, F.lit("999999999")).cast("bigint"), "span": unit})
+    df = df.withColumns({"services": F.when(unit.isNotNull(), F.when(counted, F.col("__c").try_cast(WIDE)).otherwise(F.lit(1).cast(WIDE))), "spans": number.try_cast(WIDE), "span": unit})
     return df.drop("__t", "__m", "__sm", "__adv", *got)
 
 
@@ -181,36 +202,63 @@ def read_cadence(text: Column) -> Column:
 def service_limits_per_year(rows: DataFrame, id_col: str = "row_id", text: str = "frequency") -> DataFrame:
     """(id, per_year): services per year times 1,000 of every limit that allows a number of services per span of time.
 
-    Null, empty and placeholder texts, limits by lifetime, visit or date, waiting times and ages give no row. Repeated
-    rows stay repeated. Texts may use other widths, styles and look-alike letters. Columns besides the two are not read.
+    Null, empty and placeholder texts, limits by lifetime, visit or date, waiting times and ages give no row, nor do
+    results beyond BIGINT. Repeated rows stay repeated. Texts may use other widths, styles and look-alike letters. Columns
+    besides the two are not read. Each distinct wording is read once and joined back; wordings that many rows share are
+    joined by broadcast (skew.lookup).
     """
-    read = read_rate(rows.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text")
     table = conversion_table(rows.sparkSession, RATE_EDGES, "year")
-    out = convert(read.where("span IS NOT NULL AND spans > 0"), table, "span", F.col("services") * 1000, F.col("spans"), "per_year")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text <> ''")
+    counted = rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    # Written before it is filtered: a condition on what is read would be pushed down and the text read once more for it.
+    read = durable(read_rate(spread(counted, F.xxhash64("text")), "text").select(F.col("text").alias("wording"), "n", "services", "spans", "span"))
+    read = convert(read, table, "span", F.col("services") * 1000, F.col("spans"), "per_year").select("wording", "per_year", "n")
+    total = read.agg(F.sum("n")).first()[0] or 0
+    out = skew.lookup(rows, {"wording": F.col("text")}, read, "per_year", "n", total, F.col("id"), how="inner")
     return out.select(F.col("id").alias(id_col), "per_year")
 
 
+#: Amounts of money in a text: behind a sign or code, else in front of one.
+SUM_BEHIND = r"(?:us ?\$|\$|\busd) ?([0-9][0-9,]*(?:\.[0-9]+)?)(.*)$"
+SUM_BEFORE = r"(?<![0-9.,])([0-9][0-9,]*(?:\.[0-9]+)?) ?(usd\b|us dollars?\b|dollars?\b|us cents?\b|cents?\b|¢)(.*)$"
+
+
+def read_quote(quote: Column) -> Column:
+    """STRUCT<value, unit, tail> of the first amount that a quote (plain, lower case) states, or null: unit is dollar or cent, tail what follows."""
+    behind = F.when(F.regexp_extract(quote, SUM_BEHIND, 1) != "", F.struct(F.regexp_extract(quote, SUM_BEHIND, 1).alias("value"), F.lit("dollar").alias("unit"), F.regexp_extract(quote, SUM_BEHIND, 2).alias("tail")))
+    unit = F.when(F.regexp_extract(quote, SUM_BEFORE, 2).rlike("cent|¢"), "cent").otherwise("dollar")
+    before = F.when(F.regexp_extract(quote, SUM_BEFORE, 1) != "", F.struct(F.regexp_extract(quote, SUM_BEFORE, 1).alias("value"), unit.alias("unit"), F.regexp_extract(quote, SUM_BEFORE, 3).alias("tail")))
+    return F.coalesce(behind, before)
+
+
 def premiums_per_year(rows: DataFrame, id_col: str = "premium_id") -> DataFrame:
     """(id, per_year): cents per year of every premium that states an amount over a span of time.
 
-    rows: id, amount DOUBLE, amount_unit, cadence and evidence_quote STRING. Where amount is null, amount and cadence
-    are those of the quote, in dollars; where only the cadence is missing (null, blank, "unknown"), the quote's; a null
-    or blank unit means dollars, an unknown one gives no row. One-time and per-visit amounts, amounts that are negative
-    or not a number, and rows without an amount give no row. Repeated rows stay repeated.
+    rows: id, amount DOUBLE, amount_unit, cadence and evidence_quote STRING. Where amount is null, amount, unit and cadence
+    are those of the quote; where only the cadence is missing (null, blank, "unknown"), the quote's; a null or blank unit
+    means dollars, an unknown one gives no row. A quote's amount stands behind $, US$ or USD, else before USD, dollars or
+    cents. One-time and per-visit amounts, amounts that are negative or not a number, results beyond BIGINT, and rows
+    without an amount give no row. Repeated rows stay repeated.
     """
-    wide = rows.select(F.col(id_col).alias("id"), "amount", F.lower(F.trim(plain_text(F.col("amount_unit")))).alias("unit"), F.lower(F.trim(plain_text(F.col("cadence")))).alias("cad"), F.regexp_replace(F.lower(plain_text(F.col("evidence_quote"))), r"\s+", " ").alias("quote"))
-    sum_form = r"\$ ?([0-9][0-9,]*(?:\.[0-9]+)?)(.*)$"
-    stated = F.expr("try_cast(amount AS decimal(20,6))")
-    quoted = F.regexp_replace(F.regexp_extract("quote", sum_form, 1), ",", "")
-    tail = F.regexp_extract("quote", sum_form, 2)
-    told = F.when(F.regexp_extract("quote", sum_form, 1) != "", F.when(tail.rlike(NO_SPAN), F.lit(None).cast("string")).otherwise(F.coalesce(read_cadence(tail), read_cadence(F.col("quote")))))
+    low = lambda c: F.lower(F.trim(plain_text(F.col(c))))
+    wide = rows.select(F.col(id_col).alias("id"), "amount", low("amount_unit").alias("unit"), low("cadence").alias("cad"), F.col("evidence_quote").alias("raw"))
     missing = F.col("cad").isNull() | F.col("cad").isin("", "unknown", "-", "n/a", "none")
     there = F.col("amount").isNotNull()
-    money = F.when(there & (F.coalesce("unit", F.lit("")) != ""), F.try_element_at(_map(MONEY_WORDS), F.col("unit"))).otherwise(F.lit("dollar"))
+    needed = F.when(~there | missing, F.col("raw"))  # only these rows' quotes are looked at
+    wide = wide.withColumn("quote", F.regexp_replace(F.lower(plain_text(needed)), r"\s+", " ")).withColumn("said", read_quote(F.col("quote")))
+    told = F.when(F.col("said").isNotNull() & ~F.col("said.tail").rlike(NO_SPAN), F.coalesce(read_cadence(F.col("said.tail")), read_cadence(F.col("quote"))))
+    named = F.when(F.coalesce("unit", F.lit("")) != "", F.try_element_at(_map(MONEY_WORDS), F.col("unit"))).otherwise(F.lit("dollar"))
+    money = F.when(there, named).otherwise(F.col("said.unit"))
     span = F.when(there & ~missing, read_cadence(F.col("cad"))).otherwise(told)
-    read = wide.withColumns({"q": quoted, "stated": F.when(F.isnan("amount") | (F.abs("amount") > 1e12), F.lit(None)).otherwise(stated)})
-    read = read.withColumn("value", F.when(there, F.col("stated")).otherwise(F.expr("try_cast(q AS decimal(20,6))")))
-    read = read.select("id", "value", F.concat(money, F.lit(" per "), span).alias("unit")).where("value IS NOT NULL AND unit IS NOT NULL")
-    pairs = [(f"{a} per {x}", "cent per year", k * r, Fraction(0)) for (a, b), (k, _) in compose(MONEY_EDGES).items() if b == "cent" for (x, y), (r, _) in compose(RATE_EDGES).items() if y == "year"]
-    table = conversion_table(rows.sparkSession, [e for e in pairs if e[0] != e[1]], "cent per year")
+    quoted = F.regexp_replace("said.value", ",", "").try_cast("decimal(26,6)")
+    value = F.when(there, F.when(~F.isnan("amount"), F.col("amount").try_cast("decimal(26,6)"))).otherwise(quoted)
+    read = wide.select("id", value.alias("value"), F.concat(money, F.lit(" per "), span).alias("unit")).where("value >= 0 AND unit IS NOT NULL")
+    table = conversion_table(rows.sparkSession, premium_edges(), "cent per year")
     return convert(read, table, "unit", F.col("value") * 1000000, F.lit(1000000), "per_year").select(F.col("id").alias(id_col), "per_year")
+
+
+def premium_edges() -> list[Edge]:
+    """From an amount of a money unit over a span to cents per year, as products of both graphs' compositions."""
+    money, spans = compose(MONEY_EDGES), compose(RATE_EDGES)
+    edges = [(f"{a} per {x}", "cent per year", k * r, Fraction(0)) for (a, b), (k, _) in money.items() if b == "cent" for (x, y), (r, _) in spans.items() if y == "year"]
+    return [e for e in edges if e[0] != e[1]]

@@ -49,6 +49,11 @@ SELECT n.delivery_id, n.layer, n.node, p.node AS parent, CASE WHEN p.type = 'OBJ
   CASE WHEN n.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN n.value ->> '$' END AS value
 FROM n LEFT JOIN n p ON p.delivery_id = n.delivery_id AND p.layer = n.layer AND p.id = n.up"""
 
+P4_DAYS = """
+WITH t AS (SELECT row_id, epoch(extracted_at) AS s, floor(epoch(extracted_at) / 86400) AS day, row_id % 3 AS k FROM benefit_rows WHERE extracted_at IS NOT NULL)
+SELECT row_id, CASE k WHEN 0 THEN 'unix_second' WHEN 1 THEN 'unix_day' ELSE 'sheet_day' END AS unit, CAST(CASE k WHEN 0 THEN floor(s) WHEN 1 THEN day ELSE day + 25569 END AS BIGINT) AS told,
+  CAST(CASE k WHEN 0 THEN floor(floor(s) / 86400.0 + 2440588.0) ELSE day + 2440588 END AS BIGINT) AS julian_day FROM t"""
+
 _TYPE = r"CASE WHEN regexp_full_match(v, '[+-]?\d+') THEN 'whole' WHEN regexp_full_match(v, '[+-]?\d+\.\d+') THEN 'decimal' WHEN regexp_full_match(v, '[+-]?\d+(\.\d+)?\s*%') THEN 'percent' WHEN v LIKE '$%' THEN 'dollar' WHEN regexp_full_match(v, '\d{4}-\d{2}-\d{2}') THEN 'date' ELSE 'text' END"
 
 P5 = rf"""
@@ -75,4 +80,4 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT mt.later, 'renamed', b.label FROM mt JOIN ct a ON a.guide_id = mt.earlier AND a.idx = mt.i JOIN ct b ON b.guide_id = mt.later AND b.idx = mt.j WHERE a.bare <> b.bare
   UNION ALL SELECT mt.later, 'retyped', b.label FROM mt JOIN ct a ON a.guide_id = mt.earlier AND a.idx = mt.i JOIN ct b ON b.guide_id = mt.later AND b.idx = mt.j WHERE a.t <> b.t)"""
 
-SQL: dict[str, str] = {"p2_found": P2, "p2_nodes": P2_NODES, "p5_found": P5}
+SQL: dict[str, str] = {"p2_found": P2, "p2_nodes": P2_NODES, "p4_days": P4_DAYS, "p5_found": P5}

@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docfacts.operators import drift, nested, units
 
@@ -138,6 +139,7 @@ def test_service_limits_per_year(spark):
     cases = {
         "2 per year": 2000, "One (1) of (D1, D2) within any twenty-four months": 500, "6:36 MONTHS": 2000, "4x/yr": 4000, "3 P.A.": 3000, "dos veces al año; not on same date as D1004": 2000, "una vez cada 24 meses": 500, "every other year": 500, "every 3rd year": 333,
         "Semi-annually": 2000, "Quarterly": 4000, "twice in any 180-day period": 4056, "1 per quadrant every seven (7) calendar years": 143, "2 / 60 MO": 400, "max. 3 service per 12-month period, up to the yearly cap": 3000, "６ｘ per 36Ｍ": 2000, "once every 2 wks": 26000,
+        "ages 20 3 exams per year": 3000, "$20 2 exams per year": 2000, "twenty-four per year": 24_000, "Twenty four visits per year": 24_000, "20 4 visits per year": 4000, "4000000000 per year": 4_000_000_000_000, "1 per 20 years": 50, "9" * 30 + " per year": None, "9" * 18 + " per day": None,
         "1 per tooth per lifetime": None, "Up to $1500 per year": None, "Not within 6 months of D1363": None, "Ages 0-6 only": None, "1 per visit": None, "2 per date of service": None, "Covered after 12 months of enrollment": None, "": None, None: None, "-": None, "No set limit": None,
     }
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "row_id long, frequency string, per_year string")
@@ -145,11 +147,19 @@ def test_service_limits_per_year(spark):
     assert {t: got.get(i) for i, t in enumerate(cases)} == cases
 
 
+def test_affine_conversion_of_rows(spark):
+    edges = [("f", "c", Fraction(5, 9), Fraction(-160, 9)), ("c", "k", Fraction(1), Fraction(27315, 100))]
+    df = spark.createDataFrame([("f", 212), ("c", -300), ("k", 5), ("f", None), ("x", 1), (None, 1), ("f", -40)], "unit string, q long")
+    got = {(r["unit"], r["q"]): r["out"] for r in units.convert(df, units.conversion_table(spark, edges, "k"), "unit", F.col("q"), F.lit(1), "out").collect()}
+    assert got == {("f", 212): 373, ("k", 5): 5, ("f", -40): 233}
+
+
 def test_premiums_per_year(spark):
     rows = [
         (10.0, None, "monthly", None, 12000), (1000.0, "US cents", "/wk", None, 52000), (0.84, "hundred USD", "26 times a year", "", 218400), (5.0, "usd", None, "You pay $5.00 twice a month", 12000), (None, None, None, "Рrеmіum: $1,560.00 each plan year", 156000),
         (None, "cents", "monthly", "$2.00 per quarter (optional)", 800), (7.0, "$", "unknown", "＄７.00 every six months", 1400), (7.0, "$", "one_time", "$7.00 monthly", None), (None, None, None, "A fee of $7.00 due once", None), (None, None, None, "Premium may change each year", None),
         (7.0, "euro", "monthly", None, None), (float("nan"), "$", "monthly", None, None), (-1.0, "$", "monthly", None, None), (7.0, "$", None, None, None), (None, None, None, None, None), (0.005, "$", "annual", None, 1),
+        (None, None, None, "25.50 USD per month", 30_600), (None, None, None, "USD 25.50 per month", 30_600), (None, None, None, "30 dollars each year, 12 visits", 3000), (None, None, None, "250 cents monthly", 3000), (None, None, None, "Plan 4 $5.00 monthly", 6000), (2e12, "$", "annual", None, 200_000_000_000_000), (1e17, "$", "annual", None, None), (1e300, "$", "annual", None, None), (float("inf"), "$", "annual", None, None),
     ]
     df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "premium_id long, amount double, amount_unit string, cadence string, evidence_quote string")
     got = {r["premium_id"]: r["per_year"] for r in units.premiums_per_year(df).collect()}

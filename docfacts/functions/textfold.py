@@ -10,18 +10,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of other alphabets with the shape of Latin ones, and those Latin letters.
-LOOKALIKE = ("АВЕЅІЈКМНОРСТУХЬҮԌԚԜаеѕіјорсухһԁԛԝӏ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳν", "ABESIJKMHOPCTYXbYGQWaesijopcyxhdqwl" + "ABEZHIKMNOPTYXocjv")
+#: By alphabet, letters with the shape of Latin ones, and those Latin letters.
+LOOKALIKE = {
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХЬҮԌԚԜѴԀӀаеѕіјорсухһԁԛԝӏѵѡүҽ", "ABESIJKMHOPCTYXbYGQWVdIaesijopcyxhdqwlvwye"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺͿϜαγιορυϲϳν", "ABEZHIKMNOPTYXCMJFayiopucjv"),
+    "Armenian": ("ՍՏՕԼսհոռցզգյօ", "USOLuhnngqqjo"),
+    "Coptic": ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),
+    "Cherokee": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHYGhZbRWSVSLCPKdGB"),
+    "Lisu": ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Canadian syllabics": ("ᐯᑌᑭᑯᑕᒍᒪᕼᖇᖴᗅᗪᗰᗷ᙭", "VUPdCJLHRFADMBX"),
+    "Latin extensions": ("ɑɡɩᴄᴏᴜᴠᴡᴢꜱ", "agicouvwzs"),
+}
 #: Hyphens that look like the plain one.
 HYPHENS = "‐‑⁃˗᠆"
 #: Characters that show nothing though their category isn't format (fillers, joiners, variation selectors).
-UNSEEN = "͏ᅟᅠ឴឵⠀ㅤﾠ" + "".join(map(chr, (*range(0x180B, 0x1810), *range(0xFE00, 0xFE10))))
+UNSEEN = "͏ᅟᅠ឴឵⠀ㅤﾠ" + "".join(map(chr, (*range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))))
 
 
 @functools.lru_cache(maxsize=1)
 def shape_map() -> dict[int, str]:
     """Code point -> what it looks like, for look-alike letters, hyphens, spaces and invisible characters."""
-    out = {ord(a): b for a, b in zip(*LOOKALIKE)} | {ord(c): "-" for c in HYPHENS} | {ord(c): "" for c in UNSEEN}
+    letters = {ord(a): b for pair in LOOKALIKE.values() for a, b in zip(*pair, strict=True)}
+    out = letters | {ord(c): "-" for c in HYPHENS} | {ord(c): "" for c in UNSEEN}
     for c in range(0x110000):
         kind = unicodedata.category(chr(c))
         if kind == "Zs":

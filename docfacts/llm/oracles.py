@@ -30,20 +30,44 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, h)""",
 }
 
 
-def _form(text: str) -> str:
-    """SQL of the one form of a text: characters that become one other, or nothing, by translate; Latin ligatures by replace; composition by DuckDB."""
-    from docfacts.llm.one_form import code_point_map
+#: Fixed values, apart from the operator's table: by alphabet, ends of the names of letters that look like a Latin letter.
+_NAMED = {
+    "CYRILLIC CAPITAL LETTER ": "A:A BYELORUSSIAN-UKRAINIAN_I:I DZE:S EM:M EN:H ER:P ES:C HA:X IE:E JE:J KA:K O:O TE:T U:Y VE:B STRAIGHT_U:Y KOMI_SJE:G QA:Q WE:W IZHITSA:V KOMI_DE:D",
+    "CYRILLIC SMALL LETTER ": "A:a BYELORUSSIAN-UKRAINIAN_I:i DZE:s ER:p ES:c HA:x IE:e JE:j O:o U:y SHHA:h KOMI_DE:d QA:q WE:w PALOCHKA:l IZHITSA:v OMEGA:w STRAIGHT_U:y ABKHASIAN_CHE:e",
+    "GREEK CAPITAL LETTER ": "ALPHA:A BETA:B EPSILON:E ZETA:Z ETA:H IOTA:I KAPPA:K MU:M NU:N OMICRON:O RHO:P TAU:T UPSILON:Y CHI:X YOT:J",
+    "GREEK SMALL LETTER ": "ALPHA:a GAMMA:y IOTA:i OMICRON:o RHO:p UPSILON:u NU:v",
+    "LATIN SMALL LETTER ": "ALPHA:a SCRIPT_G:g IOTA:i",
+    "LATIN LETTER SMALL CAPITAL ": "C:c O:o U:u V:v W:w Z:z S:s",
+}
+
+
+def _letters() -> dict[str, str]:
+    out = {unicodedata.lookup(head + part.split(":")[0].replace("_", " ")): part.split(":")[1] for head, parts in _NAMED.items() for part in parts.split()}
+    out["\u042c"], out["\u04c0"], out["\u03f3"], out["\u03f2"] = "b", "I", "j", "c"
+    return out
 
-    single, gone, longer = [], [], []
-    for ch, becomes, _ in code_point_map():
-        form = unicodedata.normalize("NFC", "".join(becomes))
+
+def _form(text: str) -> str:
+    """SQL of the one form of a text, from Unicode's properties: characters that become one other, or nothing, by translate; Latin ligatures by replace; composition by DuckDB."""
+    letters, single, gone, longer = _letters(), [], [], []
+    for c in range(0x20000):
+        ch = chr(c)
+        kind = unicodedata.category(ch)
+        if 0xD800 <= c < 0xE000 or kind in ("Cn", "Co", "Cs"):
+            continue
+        plain = lambda t: "".join(letters.get(x, " " if unicodedata.category(x) == "Zs" else "" if unicodedata.category(x) == "Cf" else x) for x in t)
+        form = plain(unicodedata.normalize("NFKC", plain(unicodedata.normalize("NFKC", ch)) if ch not in letters else letters[ch]))
+        if 0xFE00 <= c <= 0xFE0F or c == 0x34F:
+            form = ""
+        elif ch in "\u2010\u2011\u2043\u02d7":
+            form = "-"
         if form == ch or "'" in (ch, form):
             continue
         if not form:
             gone.append(ch)
         elif len(form) == 1:
             single.append((ch, form))
-        elif 0xFB00 <= ord(ch) <= 0xFB06:
+        elif 0xFB00 <= c <= 0xFB06:
             longer.append((ch, form))
     out = f"translate({text}, '{''.join(a for a, _ in single)}{''.join(gone)}', '{''.join(b for _, b in single)}')"
     for a, b in longer:
@@ -57,6 +81,8 @@ def _looks() -> dict[str, str]:
     forms = f"f AS (SELECT src, grp, id, text, {_form('text')} AS form FROM t WHERE text IS NOT NULL)"
     return {
         "p6_found": f"WITH {texts}, {forms} SELECT DISTINCT a.src, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.src = b.src AND a.grp = b.grp AND a.form = b.form AND a.id < b.id AND a.text <> b.text WHERE a.form <> ''",
+        "p6_classes": f"""WITH {texts}, {forms}, g AS (SELECT src, grp, form, min(id) AS class_id, count(DISTINCT text) AS n_texts FROM f WHERE form <> '' AND grp IS NOT NULL GROUP BY ALL)
+SELECT DISTINCT src, id, class_id, n_texts FROM f JOIN g USING (src, grp, form) WHERE n_texts > 1""",
         "p6_forms": f"WITH {texts}, {forms} SELECT src, id, form FROM f UNION ALL SELECT src, id, NULL FROM t WHERE text IS NULL",
     }
 

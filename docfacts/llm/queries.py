@@ -41,6 +41,10 @@ def p6_forms(spark: SparkSession, d: str) -> DataFrame:
     return one_form.forms(_odd_texts(spark, d)).select("src", "id", "form")
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return one_form.classes(_odd_texts(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return forced_bpe.encode_column(table(spark, d, "documents"))
 
@@ -57,4 +61,4 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return natural_cuts.cut(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p3_found, p6_found, p6_forms, p7_ids, p8_found, p8_leaks, p9_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p3_found, p6_found, p6_forms, p6_classes, p7_ids, p8_found, p8_leaks, p9_pieces)}

@@ -120,6 +120,18 @@ def test_forms_are_those_of_unicode(spark):
     assert {r["id"]: r["form"] for r in one_form.forms(again).collect()} == got
 
 
+def test_letters_of_many_alphabets_and_long_texts(spark):
+    look = ["A plan", "\u13aa plan", "A pl\u0251n", "\ua4ee plan", "A p\u217can", "\u0391 \u03c1lan", "A pla\u0578", "A plan\U000e0101"]
+    long = "\u0430b\u0301 c " * 20_000
+    rows = [("d", "g", i, t) for i, t in enumerate(look)] + [("d", "g", 50, long), ("d", "g", 51, long.replace("\u0430", "a")), ("d", "g", 52, "e" + "\u0301\u0323" * 3_000), ("d", "g", 53, "e" + "\u0323" * 3_000 + "\u0301" * 3_000), ("d", "g", 54, "\u00df")]
+    df = spark.createDataFrame(rows, "src string, grp string, id long, text string")
+    pairs = {(r["id_a"], r["id_b"]) for r in one_form.lookalikes(df).collect()}
+    assert pairs == {(a, b) for a in range(len(look)) for b in range(a + 1, len(look))} | {(50, 51), (52, 53)}
+    got = {(r["id"], r["class_id"], r["n_texts"]) for r in one_form.classes(df.union(df.where("id < 2"))).collect()}
+    assert got == {(i, 0, len(look)) for i in range(len(look))} | {(50, 50, 2), (51, 50, 2), (52, 52, 2), (53, 52, 2)}
+    assert one_form.classes(df.limit(0)).count() == 0
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 

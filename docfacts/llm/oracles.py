@@ -27,6 +27,24 @@ sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT doc_id, n, hash(array_to_string(w[k : k + n - 1], ' ')) AS h
   FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, h)""",
+    "p8_leaks": r"""
+WITH s AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '(^|[.!?:;]\s+|\n\s*)(["''(\[]*)([\p{L}\p{N}]+)', '\1\2' || chr(1) || '\3', 'g'), '\x01?[\p{L}\p{N}]+')) AS w FROM eval_items WHERE text IS NOT NULL),
+names AS (SELECT list(word) AS words FROM (SELECT lower(w) AS word FROM s WHERE NOT starts_with(w, chr(1)) GROUP BY 1 HAVING bool_and(regexp_matches(w, '^\p{Lu}') AND length(w) > 1 AND w <> upper(w)))),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+units AS (SELECT [{UNITS}] AS us),
+words AS (SELECT DISTINCT unnest(w) AS x FROM d UNION SELECT unnest(w) FROM i),
+plain AS (SELECT map_from_entries(list((x, p))) AS m FROM (SELECT x, CASE WHEN regexp_matches(x, '\p{N}') THEN '#number' WHEN list_contains(us, x) THEN '#unit' ELSE '#name' END AS p FROM words, names, units
+  WHERE regexp_matches(x, '\p{N}') OR list_contains(us, x) OR list_contains(names.words, x))),
+it AS (SELECT item_id, w, list_transform(w, lambda x: coalesce(m[x], x)) AS t FROM i, plain),
+iw AS (SELECT DISTINCT item_id, n, hash(array_to_string(t[k : k + n - 1], ' ')) AS h, w[k : k + n - 1] AS a FROM (SELECT *, least(13, len(w)) AS n, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS k FROM it WHERE len(w) > 0)),
+dt AS (SELECT doc_id, w, list_transform(w, lambda x: coalesce(m[x], x)) AS t FROM d, plain),
+dw AS (SELECT doc_id, n, hash(array_to_string(t[k : k + n - 1], ' ')) AS h, w[k : k + n - 1] AS b FROM (SELECT doc_id, w, t, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM dt, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+j AS (SELECT doc_id, item_id, a, b, list_filter(list_zip(a, b), lambda p: m[p[1]] IS NOT NULL) AS slots FROM dw JOIN iw USING (n, h), plain)
+SELECT doc_id, item_id, bool_or(a = b) AS verbatim, count(DISTINCT a) AS n_windows FROM j
+WHERE a = b OR (len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda p: p[1]))) AND len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda p: p[2])))) GROUP BY doc_id, item_id""".replace(
+        "{UNITS}", ", ".join(f"'{u}'" for u in "day days week weeks month months year years hour hours minute minutes dollar dollars cent cents percent usd km miles mile kg mg ml visit visits times".split())
+    ),
 }
 
 

@@ -179,8 +179,8 @@ def brute(documents, items, n=13):
     return out
 
 
-@pytest.mark.parametrize("most_sent", [1_000_000, 1])
-def test_leaks_are_those_of_brute_force(spark, most_sent):
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 1])
+def test_leaks_are_those_of_brute_force(spark, most_broadcast):
     words = ITEM.split()
     items = [(1, ITEM), (2, "Short question, only five words"), (3, None), (4, "..."), (5, ITEM.replace("Opal", "Jade").replace("14", "15"))]
     documents = [
@@ -189,29 +189,37 @@ def test_leaks_are_those_of_brute_force(spark, most_sent):
     ]
     d = spark.createDataFrame(documents, "doc_id long, text string").withColumn("h", F.lit(1))
     i = spark.createDataFrame(items, "item_id long, text string")
-    rows = eval_leak.leaks(d, i, most_sent=most_sent).collect()
+    rows = eval_leak.leaks(d, i, most_broadcast=most_broadcast).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows if r["verbatim"]} == brute(documents, items)
     assert any(r["doc_id"] == 8 and r["item_id"] == 1 and not r["verbatim"] for r in rows)
     assert len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows})
     assert eval_leak.found(d.limit(0), i).count() == 0 and eval_leak.found(d, i.limit(0)).count() == 0
 
 
+def test_a_bitmap_never_says_no_to_a_member(spark):
+    df = spark.range(50_000).select(F.xxhash64("id").alias("h"))
+    bits = eval_leak.bitmap(df, "h")
+    members = np.array([r[0] for r in df.collect()], np.int64).view(np.uint64)
+    others = np.random.default_rng(1).integers(0, 2**63, 50_000).astype(np.uint64)
+    assert bits.has(members).all() and bits.has(others).mean() < 0.02 and not eval_leak.bitmap(df.limit(0), "h").has(members).any()
+
+
 def test_other_parameters_are_the_same_question(spark):
     i = spark.createDataFrame([(1, "The plan of Opal pays 12 dollars and then Opal asks for 14 days more of patience from us all")], "item_id long, text string")
-    d = spark.createDataFrame([(1, "The plan of Opal pays 99 dollars and then Opal asks for 70 weeks more of patience from us all"), (2, "The plan of Opal pays 99 dollars and then Jade asks for 99 days more of patience from us all")], "doc_id long, text string")
+    d = spark.createDataFrame([(3, "Years ago the plan of Opal pays 14 dollars and then Opal asks for 12 days more of patience from us all"), (4, "The plan of Zirconia pays 12 dollars and then Opal asks for 14 days more of patience from us all"), (1, "The plan of Opal pays 99 dollars and then Opal asks for 70 weeks more of patience from us all"), (2, "The plan of Opal pays 99 dollars and then Jade asks for 99 days more of patience from us all")], "doc_id long, text string")
     got = {r["doc_id"]: r["verbatim"] for r in eval_leak.leaks(d, i).collect()}
-    assert got == {1: False}
+    assert got == {1: False, 3: False, 4: True}  # 4 holds thirteen words of its own too
 
 
-@pytest.mark.parametrize("most_sent", [1_000_000, 1])
-def test_every_window_of_a_repeated_template_counts(spark, most_sent):
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 1])
+def test_every_window_of_a_repeated_template_counts(spark, most_broadcast):
     numbers = [str(n) for n in range(1, 41)]
     prices = [w for metal in ("Copper", "Cobalt", "Nickel", "Zinc", "Silver", "Gold") for w in f"{metal} {len(metal)} dollars per month or".split()]
     items = [(1, " ".join(numbers)), (2, "We list " + " ".join(prices))]
     documents = [(a, " ".join(numbers[a : a + 13])) for a in range(28)] + [(100 + a, " ".join(prices[a : a + 13])) for a in range(len(prices) - 12)]
     documents += [(200, " ".join(numbers[:12])), (201, " ".join(numbers[:12]) + " 99"), (202, " ".join(reversed(numbers))), (203, " ".join(numbers))]
     d, i = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    rows = eval_leak.leaks(d, i, most_sent=most_sent).collect()
+    rows = eval_leak.leaks(d, i, most_broadcast=most_broadcast).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows if r["verbatim"]} == brute(documents, items)
     assert {tuple(r) for r in eval_leak.found(d, i).collect()} == brute(documents, items)
     assert {r["n_windows"] for r in rows if r["doc_id"] == 203} == {28}

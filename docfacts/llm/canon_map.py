@@ -9,19 +9,22 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docfacts.functions.tables import durable, spread
+from docfacts.functions.tables import durable
 from docfacts.functions.textfold import plain
 from docfacts.operators import skew
 
-#: Names in one automaton; a longer reference list is gone through in blocks of so many names.
-BLOCK_NAMES = 50_000
+#: About as many names are in one automaton; a longer reference list is gone through in blocks by hash.
+BLOCK_NAMES = 20_000
+#: About as many distinct values are mapped in one group.
+GROUP_VALUES = 20_000
 #: Least similarity of a value without a mention to the entry it is mapped to.
 LEAST_SIMILARITY = 0.65
 #: Words that join names, and words that are written round a heading.
@@ -83,8 +86,62 @@ def alike(entered: str, word: str) -> float:
     return 1 - d / max(len(word), len(entered))
 
 
+#: Characters counted apart for the bound on edit distance; all others count together.
+COUNTED = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
+
+
+def bag(text: str) -> np.ndarray:
+    """How often each character stands in a text: two texts' edit distance is at least the larger one-sided difference of their bags."""
+    out = np.zeros(len(COUNTED) + 1, np.int16)
+    for c in text:
+        out[COUNTED.get(c, len(COUNTED))] += 1
+    return out
+
+
+def deletions(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` characters left out: two words within that distance have one of them in common."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+class Words:
+    """Index of the names' words: finds all that an entered word may stand for (see alike) without looking at each."""
+
+    def __init__(self, words: Iterable[str]):
+        self.sorted = sorted(set(words))
+        self.near: dict[str, list[str]] = {}
+        self.skeletons: dict[str, list[str]] = {}
+        for word in self.sorted:
+            self.skeletons.setdefault(skeleton(word), []).append(word)
+            for part in deletions(word, slack(len(word))):
+                self.near.setdefault(part, []).append(word)
+        self.longest_slack = max((slack(len(w)) for w in self.sorted), default=0)
+        self.most_letters = max(map(len, self.sorted), default=0)
+        self.found: dict[str, dict[str, float]] = {}
+
+    def like(self, entered: str) -> dict[str, float]:
+        """Word of a name -> how well the entered word stands for it; only those above 0."""
+        got = self.found.get(entered)
+        if got is None:
+            near = set(self.skeletons.get(entered, ()))
+            if len(entered) <= self.most_letters + self.longest_slack:
+                for part in deletions(entered, min(self.longest_slack, slack(len(entered) + self.longest_slack))):
+                    near.update(self.near.get(part, ()))
+            a = bisect_left(self.sorted, entered)
+            while a < len(self.sorted) and self.sorted[a].startswith(entered):
+                near.add(self.sorted[a])
+                a += 1
+            got = {w: s for w in near if (s := alike(entered, w))}
+            if len(self.found) < 100_000:
+                self.found[entered] = got
+        return got
+
+
 class Names:
-    """The automaton and the word sets of a block of names."""
+    """The automaton, the word sets and their index of a block of names."""
 
     def __init__(self, names: Iterable[tuple[int, str]]):
         import ahocorasick
@@ -107,6 +164,25 @@ class Names:
         for key, (other, term_id) in forms.items():
             self.automaton.add_word(f" {key} ", (len(key), other, term_id))
         self.automaton.make_automaton()
+        self.words = Words(w for _, words, _ in self.entries for w in words)
+        self.with_word: dict[str, list[int]] = {}
+        for k, (_, words, _) in enumerate(self.entries):
+            self.with_word.setdefault(max(words, key=len), []).append(k)  # a name's longest word must be found anyway
+        solids = [(joined, k) for k, (_, _, joined) in enumerate(self.entries)] + [(bare, k) for k, (_, words, joined) in enumerate(self.entries) if (bare := "".join(words)) != joined]
+        self.solids = sorted(solids, key=lambda x: len(x[0]))
+        self.solid_sizes = np.array([len(t) for t, _ in self.solids])
+        self.bags = np.array([bag(t) for t, _ in self.solids]) if solids else np.zeros((0, len(COUNTED) + 1), np.int16)
+
+    def _solid_candidates(self, text: str) -> set[int]:
+        """Names whose solid text may be within the edit distance that reaches LEAST_SIMILARITY: by length, then by bags for all of them at once."""
+        n = len(text)
+        low, high = (int(x) for x in np.searchsorted(self.solid_sizes, (n * LEAST_SIMILARITY - 2, n / LEAST_SIMILARITY + 2)))
+        if low >= high:
+            return set()
+        diff = self.bags[low:high] - bag(text)
+        bound = np.maximum(np.maximum(diff, 0).sum(1), np.maximum(-diff, 0).sum(1))
+        most = np.maximum(1, ((1 - LEAST_SIMILARITY) * np.maximum(self.solid_sizes[low:high], n)).astype(int))
+        return {self.solids[low + i][1] for i in np.flatnonzero(bound <= most).tolist()}
 
     def mention(self, text: str) -> tuple[tuple[int, int, int], int] | None:
         """(rank, entry) of the longest mention; of equally long ones the first. rank: length, and with less for a later place and another form."""
@@ -123,7 +199,9 @@ class Names:
         core = [w for w in words if len(w) > 1 and w not in AROUND] or words
         solid, best = "".join(tokens), (0.0, -1)
         bare = "".join(core)
-        for term_id, name, joined in self.entries:
+        found = {k for e in words for w in self.words.like(e) for k in self.with_word.get(w, ())}
+        for k in found | self._solid_candidates(solid) | self._solid_candidates(bare):
+            term_id, name, joined = self.entries[k]
             score = max(self._sets(core, words, name), self._solid(solid, joined), self._solid(bare, "".join(name)))
             if score > best[0] or (score == best[0] and term_id < best[1]):
                 best = (score, term_id)
@@ -164,39 +242,34 @@ class Names:
         return (score, NO_RANK, term_id) if score >= least else (0.0, NO_RANK, -1)
 
 
-def map_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SIMILARITY, block: int = BLOCK_NAMES) -> DataFrame:
+def map_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SIMILARITY, block: int = BLOCK_NAMES, group: int = GROUP_VALUES) -> DataFrame:
     """values (src, entered, ...) -> (src, entered, term_id) for each distinct entered value; -1 if it names no entry.
 
-    terms: term_id, list_name, term, aliases. A value is compared with the names of the list called like its src. The
-    names go to the workers in blocks of ``block`` names, so their size is bounded however long the list is; of several
-    blocks the best score counts, then the longer mention, the earlier one, the form as written, the smaller id: the result of one block. Null values are left out.
+    terms: term_id, list_name, term, aliases. A value is compared with the names of the list called like its src. Names
+    are split into blocks of about ``block`` and values into groups of about ``group`` by hash; each group meets each
+    block in a task of its own, so that a task's size is bounded however long the list and however many the values. Of
+    several blocks the best score counts, then the longer mention, the earlier one, the form as written, the smaller id:
+    the result of one block. Null values are left out.
     """
-    names = terms.select("list_name", "term_id", F.explode(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).where("name IS NOT NULL AND term_id IS NOT NULL AND list_name IS NOT NULL").distinct()
-    names = names.withColumn("block", (F.row_number().over(_by_name()) / F.lit(block + 1)).cast("int"))
-    n_blocks = (names.agg(F.max("block")).first()[0] or 0) + 1
-    distinct = spread(values.where("entered IS NOT NULL").select("src", "entered").distinct(), F.xxhash64("src", "entered"))
-    out = None
-    for k in range(n_blocks):
-        part = [tuple(r) for r in names.where(F.col("block") == k).select("list_name", "term_id", "name").collect()]
-
-        def run(batches: Iterator[pd.DataFrame], part: list[tuple[str, int, str]] = part) -> Iterator[pd.DataFrame]:
-            lists = {src: Names((i, n) for s, i, n in part if s == src) for src in {s for s, _, _ in part}}
-            for pdf in batches:
-                got = [lists[s].entry(v, least) if s in lists else (0.0, NO_RANK, -1) for s, v in zip(pdf["src"], pdf["entered"])]
-                yield pdf.assign(score=[g[0] for g in got], length=[g[1][0] for g in got], place=[g[1][1] for g in got], form=[g[1][2] for g in got], term_id=[g[2] for g in got])
-
-        schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("entered", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField(k, T.IntegerType()) for k in ("length", "place", "form")], T.StructField("term_id", T.LongType())])
-        mapped = distinct.mapInPandas(run, schema)
-        out = mapped if out is None else out.union(mapped)
-    if n_blocks > 1:
-        out = out.groupBy("src", "entered").agg(F.max_by("term_id", F.struct("score", "length", "place", "form", -F.col("term_id"))).alias("term_id"))
-    return out.select("src", "entered", "term_id")
-
-
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("list_name").orderBy("term_id", "name")
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    names = terms.where("term_id IS NOT NULL AND list_name IS NOT NULL").select("list_name", "term_id", F.explode(F.concat(F.array("term"), aliases)).alias("name")).where("name IS NOT NULL").distinct()
+    distinct = values.where("entered IS NOT NULL").select("src", "entered").distinct()
+    least_groups = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks, n_groups = names.count() // block + 1, max(distinct.count() // group + 1, least_groups)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = distinct.withColumn("g", F.pmod(F.xxhash64("src", "entered"), F.lit(n_groups)).cast("int")).withColumn("b", every(n_blocks))
+    right = names.withColumn("b", F.pmod(F.xxhash64("list_name", "name"), F.lit(n_blocks)).cast("int")).withColumn("g", every(n_groups))
+
+    def run(pdf: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        lists = {src: Names(zip(own["term_id"], own["name"])) for src, own in part.groupby("list_name")}
+        got = [lists[s].entry(v, least) if s in lists else (0.0, NO_RANK, -1) for s, v in zip(pdf["src"], pdf["entered"])]
+        ranks = {k: [g[1][i] for g in got] for i, k in enumerate(("length", "place", "form"))}
+        return pd.DataFrame({"src": pdf["src"], "entered": pdf["entered"], "score": [g[0] for g in got], **ranks, "term_id": [g[2] for g in got]})
+
+    schema = "src string, entered string, score double, length int, place int, form int, term_id long"
+    mapped = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(run, schema)
+    best = F.max_by("term_id", F.struct("score", "length", "place", "form", -F.col("term_id")))
+    return mapped.groupBy("src", "entered").agg(best.alias("term_id")) if n_blocks > 1 else mapped.select("src", "entered", "term_id")
 
 
 def map_records(records: DataFrame, terms: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:

@@ -117,7 +117,8 @@ class Cutter:
                         out[p] = CHARACTER
                     if self.tokens(p, q) > core:
                         chars = [k for k in range(p + 1, q) if self.raw[k] & 0xC0 != 0x80]
-                        out |= dict.fromkeys(chars[15::16], CHARACTER)
+                        step = max(1, min(16, core // 4))  # a character has four tokens at most
+                        out |= dict.fromkeys(chars[step - 1 :: step], CHARACTER)
         return out
 
     def overlap_start(self, low: int, end: int) -> int:
@@ -130,7 +131,7 @@ class Cutter:
             starts = [m.end() for m in SPACES.finditer(self.raw, begin, end) if m.end() < end]
             if begin == low and low < end and not SPACES.match(self.raw, low, end):
                 starts.insert(0, low)
-            if begin == low or (starts and self.tokens(starts[0], end) > self.overlap) or width > 64 * self.overlap:
+            if begin == low or (starts and self.tokens(starts[0], end) > self.overlap):
                 break
             width *= 2
         a, b = 0, len(starts)
@@ -169,7 +170,7 @@ class Cutter:
                 size = self.tokens(start, end)
                 over = max(over, size - self.limit)
                 out.append((start, at, end, size, best.get(end, SECTION)))
-            if over <= 0:
+            if over <= 0 or limit - over <= self.overlap:
                 return out
             limit -= over  # unions over cuts that aren't certain may have a few tokens more than their parts: leave that much room and cut again
 
@@ -179,9 +180,9 @@ def cut(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path:
 
     Pieces are numbered from 0; each is text[start:end] (characters) and has at most ``limit`` tokens. The cores
     [core_start, end) tile the text; [start, core_start) repeats the end of the piece before: as many whole words as fit
-    in ``overlap`` tokens, characters where there are no words. boundary tells what the piece ends at. A document within
+    in ``overlap`` tokens, characters where there are no words, however far back they begin. boundary tells what the piece ends at. A document within
     the limit is one piece; null and empty texts are one empty piece. Repeated rows come out repeatedly; other columns
-    are not read. No shuffle.
+    are not read. No shuffle. Only where the limit is less than one character's tokens, pieces are longer.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")

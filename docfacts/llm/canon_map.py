@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.functions.tables import durable
+from docfacts.functions.tables import durable, spread
 from docfacts.functions.textfold import plain
 from docfacts.operators import skew
 
@@ -267,6 +267,7 @@ def map_values(values: DataFrame, terms: DataFrame, least: float = LEAST_SIMILAR
         return pd.DataFrame({"src": pdf["src"], "entered": pdf["entered"], "score": [g[0] for g in got], **ranks, "term_id": [g[2] for g in got]})
 
     schema = "src string, entered string, score double, length int, place int, form int, term_id long"
+    left, right = spread(left, "g", "b"), spread(right, "g", "b")
     mapped = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(run, schema)
     best = F.max_by("term_id", F.struct("score", "length", "place", "form", -F.col("term_id")))
     return mapped.groupBy("src", "entered").agg(best.alias("term_id")) if n_blocks > 1 else mapped.select("src", "entered", "term_id")

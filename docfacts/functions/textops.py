@@ -55,20 +55,41 @@ def reject_reason(raw: Column, max_bytes: int = MAX_BYTES, min_chars: int = MIN_
     )
 
 
+def running(sizes: Column, block: int = 64) -> Column:
+    """ARRAY<INT>: for each element of an array of sizes the sum of those before it.
+
+    Arrays can only grow by being copied, so sums run inside blocks of ``block`` elements, and once over the blocks: a
+    text of n matches costs n times the block, not n times n.
+    """
+
+    def sums(xs: Column, base: Column) -> Column:
+        return F.aggregate(xs, F.array(base.cast("int")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def over(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda k: F.slice(xs, k * block + 1, F.lit(block)))
+        return let(parts, lambda ps: let(sums(F.transform(ps, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), F.lit(0)), lambda bases: F.flatten(F.transform(ps, lambda p, k: F.slice(sums(p, F.get(bases, k)), F.lit(1), F.size(p))))))
+
+    return let(sizes, lambda xs: F.when(F.size(xs) > 0, over(xs)).otherwise(F.array().cast("array<int>")))
+
+
+def cut_at(text: Column, pattern: str) -> Column:
+    """ARRAY<STRING>: the text cut before and after each match of a pattern; the 2nd, 4th ... piece are the matches, leftmost first and without overlap."""
+    return F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, ""), f"({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+
+
 def regex_scan(text: Column, pattern: str) -> Column:
     """ARRAY<STRUCT<quote, start, end>>: every match of a pattern, leftmost first and without overlap.
 
     The matches are marked by one replacement and cut out by one split, so look-around at a match's edges works. The
     pattern may have groups; re-read them from the quote. Null gives null.
     """
-    pieces = F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, ""), f"({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<quote:string,start:int,end:int>>").alias("found"))
-    step = lambda acc, piece: F.struct(
-        (acc["at"] + F.char_length(piece)).alias("at"),
-        (acc["i"] + 1).alias("i"),
-        F.when(acc["i"] % 2 == 1, F.concat(acc["found"], F.array(F.struct(piece.alias("quote"), acc["at"].alias("start"), (acc["at"] + F.char_length(piece)).alias("end"))))).otherwise(acc["found"]).alias("found"),
-    )
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+
+    def matches(pieces: Column) -> Column:
+        placed = F.arrays_zip(pieces.alias("quote"), running(F.transform(pieces, F.char_length)).alias("start"))
+        odd = F.filter(placed, lambda p, i: i % 2 == 1)
+        return F.transform(odd, lambda p: F.struct(p["quote"].alias("quote"), p["start"].alias("start"), (p["start"] + F.char_length(p["quote"])).alias("end")))
+
+    return let(cut_at(text, pattern), lambda pieces: F.when(F.size(pieces) > 1, matches(pieces)).when(pieces.isNotNull(), F.array().cast("array<struct<quote:string,start:int,end:int>>")))
 
 
 def let(value: Column, body) -> Column:
@@ -91,7 +112,7 @@ def locate(flat: Column, quote: Column, window_start: Column, window_end: Column
 
 
 def flat_offset(text: Column, at: Column) -> Column:
-    """The place in the squeezed text of place ``at`` of the text."""
+    """The place in the squeezed text of place ``at`` of the text. For one place; pages and blocks add up lengths (see running)."""
     flat = F.rtrim(squeeze(text))
     return F.least(F.char_length(squeeze(F.left(text, at))), F.char_length(flat))
 

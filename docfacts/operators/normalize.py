@@ -60,14 +60,14 @@ def normalize(docs: DataFrame, raw: str = "raw", anchor: str = PAGE_ANCHOR) -> D
     usable = usable.withColumns({"content_sha256": F.sha2("raw", 256), "n_chars": F.char_length("raw")})
     marked = mark_boilerplate(page_lines(spread(pages(usable, "raw", anchor, carry), "doc_id"), carry))
     clean = F.trim(F.regexp_replace("line", "[ \t]+", " "))
-    kept = marked.withColumn("clean", F.trim(F.regexp_replace(clean, r"(?U)^\s+|\s+$", "")))
+    kept = marked.withColumn("clean", F.trim(F.regexp_replace(clean, r"(?U)^[\s\x1F]+|[\s\x1F]+$", "")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("dropped") & (F.col("clean") != ""), F.struct("line_no", "clean")))), lambda x: x["clean"]), "\n")
     paged = kept.groupBy("doc_id", "page_seq").agg(F.first("page", ignorenulls=True).alias("page"), text.alias("t"), F.count_if("dropped").alias("d"), *[F.max(c).alias(c) for c in carry])
     whole = paged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("page_seq", "page", "t")))).alias("ps"), F.sum("d").alias("n_dropped"), *[F.max(c).alias(c) for c in carry])
-    acc = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,page:int>>").alias("starts"))
-    step = lambda a, p: F.struct((a["at"] + F.char_length(p["t"]) + 1).alias("at"), F.concat(a["starts"], F.array(F.struct(a["at"].alias("start"), p["page"].alias("page")))).alias("starts"))
-    whole = whole.select("doc_id", "n_dropped", *carry, F.size("ps").alias("n_pages"), F.array_join(F.transform("ps", lambda p: p["t"]), "\n").alias("text"), F.aggregate("ps", acc, step, lambda a: a["starts"]).alias("text_starts"))
-    whole = whole.withColumn("flat", F.rtrim(X.squeeze(F.col("text"))))
-    starts = F.transform("text_starts", lambda p: F.struct(X.flat_offset(F.col("text"), p["start"]).cast("int").alias("start"), p["page"].alias("page")))
+    # Pages begin and end without white space, so a page's place in flat is the sum of the squeezed pages before it and their blanks.
+    squeezed = F.transform("ps", lambda p: X.squeeze(p["t"]))
+    whole = whole.select("doc_id", "n_dropped", *carry, "ps", F.size("ps").alias("n_pages"), F.array_join(F.transform("ps", lambda p: p["t"]), "\n").alias("text"), squeezed.alias("fs"))
+    whole = whole.withColumns({"flat": F.array_join("fs", " "), "at": X.running(F.transform("fs", lambda f: F.char_length(f) + 1))})
+    starts = F.zip_with("ps", "at", lambda p, at: F.struct(at.alias("start"), p["page"].alias("page")))
     out = whole.withColumn("page_starts", starts).where(F.char_length("flat") >= X.MIN_CHARS)
     return out.select("doc_id", "text", "flat", "page_starts", "n_pages", "n_dropped", "n_chars", "content_sha256")

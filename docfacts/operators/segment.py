@@ -26,26 +26,26 @@ def blocks(docs: DataFrame, heading: str = PACKAGE_HEADING) -> DataFrame:
     is the header, the whole document where there's none. start and end are places in flat; pages are those of the first
     and the last character. Of several packages of one number the later ones get ids with a suffix. Row by row, no shuffle.
     """
-    marked = docs.withColumn("heads", X.regex_scan(F.col("text"), heading))
-    n = F.char_length("text")
-    lead = F.transform("heads", lambda h: F.struct((h["start"] + F.char_length(F.regexp_extract(h["quote"], r"^\s*", 0))).cast("int").alias("at"), h["start"].alias("start"), F.trim(F.regexp_replace(h["quote"], r"(?U)^\s+|\s+$", "")).alias("heading")))
-    marked = marked.withColumn("heads", lead)
-    header = F.struct(F.lit(0).alias("start"), F.coalesce(F.try_element_at("heads", F.lit(1))["start"], n).cast("int").alias("end"), F.lit(None).cast("string").alias("heading"))
-    packages = F.transform("heads", lambda h, i: F.struct(h["start"].alias("start"), F.coalesce(F.get(F.col("heads"), i + 1)["start"], n).cast("int").alias("end"), h["heading"].alias("heading")))
-    rows = marked.select("*", F.posexplode(F.concat(F.array(header), packages)).alias("block_seq", "b")).where(F.col("b.end") > F.col("b.start"))
-    f_start = X.flat_offset(F.col("text"), F.col("b.start"))
-    f_end = X.flat_offset(F.col("text"), F.col("b.end") - 1) + 1
-    rows = rows.withColumns({"s": F.least(f_start, F.char_length("flat") - 1).cast("int"), "e": F.least(f_end, F.char_length("flat")).cast("int"), "heading": F.col("b.heading")})
-    number = F.regexp_extract("heading", heading, 1)
-    before = F.size(F.filter("heads", lambda h: (F.regexp_extract(h["heading"], heading, 1) == number) & (h["start"] < F.col("b.start"))))
+    trimmed = lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    cut = docs.withColumn("cs", X.cut_at(F.col("text"), heading))
+    package = lambda k: F.struct(F.concat(F.get("cs", 2 * k - 1), F.get("cs", 2 * k)).alias("text"), trimmed(F.get("cs", 2 * k - 1)).alias("heading"))
+    head = F.struct(F.get("cs", F.lit(0)).alias("text"), F.lit(None).cast("string").alias("heading"))
+    n = F.floor(F.size("cs") / 2).cast("int")
+    cut = cut.withColumn("bs", F.concat(F.array(head), F.when(n > 0, F.transform(F.sequence(F.lit(1), n), package)).otherwise(F.array().cast("array<struct<text:string,heading:string>>"))))
+    # Blocks end at line ends and begin at lines, which have no white space at their edges: their squeezed texts tile the flat text.
+    cut = cut.withColumns({"fs": F.transform("bs", lambda b: X.squeeze(b["text"])), "numbers": F.transform("bs", lambda b: F.regexp_extract(b["heading"], heading, 1))})
+    cut = cut.withColumn("at", X.running(F.transform("fs", F.char_length)))
+    rows = cut.select("*", F.posexplode(F.arrays_zip("bs", "fs", "at", "numbers")).alias("block_seq", "b")).where("b.fs <> ''")
+    rows = rows.withColumns({"s": F.least(F.col("b.at"), F.char_length("flat") - 1), "e": F.least(F.col("b.at") + F.char_length("b.fs"), F.char_length("flat")), "heading": F.col("b.bs.heading")})
+    number = F.col("b.numbers")
+    before = F.size(F.filter(F.slice("numbers", F.lit(1), F.col("block_seq")), lambda x: x == number))
     pages = F.array_sort(F.array_distinct(F.array_compact(F.array(X.page_at(F.col("page_starts"), F.col("s")), X.page_at(F.col("page_starts"), F.greatest(F.col("e") - 1, F.col("s")))))))
     is_head = F.col("heading").isNull()
     return rows.select(
         "doc_id", "block_seq",
         F.when(is_head, "header").otherwise(F.concat(F.lit("pkg_"), number, F.when(before > 0, F.concat(F.lit("_"), (before + 1).cast("string"))).otherwise(""))).alias("block_id"),
         F.when(is_head, "header").otherwise("package").alias("kind"), F.when(~is_head, number.try_cast("int")).alias("ordinal"), "heading",
-        F.regexp_replace(F.substring("text", F.col("b.start") + 1, F.col("b.end") - F.col("b.start")), r"(?U)^\s+|\s+$", "").alias("text"),
-        F.substring("flat", F.col("s") + 1, F.col("e") - F.col("s")).alias("flat"), F.col("s").alias("start"), F.col("e").alias("end"), pages.alias("pages"),
+        trimmed(F.col("b.bs.text")).alias("text"), F.left(F.col("b.fs"), F.col("e") - F.col("s")).alias("flat"), F.col("s").alias("start"), F.col("e").alias("end"), pages.alias("pages"),
     )
 
 

@@ -40,16 +40,31 @@ DOC_ANCHOR = r"(?m)^[ \t]*(\d{1,4})[ \t]+(?:19|20)\d{2}\s+Evidence of Benefits"
 DOC_HEADING = r"(?im)^[ \t]*Optional[ \t]+package[ \t]+(\d+)[ \t]*[-:][ \t]*(.+)$"
 
 
+#: Written stages of the synthesised documents, by application and directory: queries of one session normalise once.
+_STAGES: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, make: Callable[[], object]) -> object:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STAGES:
+        _STAGES[key] = make()
+    return _STAGES[key]
+
+
+def _extraction(spark: SparkSession, d: str) -> pipeline.Extraction:
+    return _once(spark, d, "packages", lambda: pipeline.extract(corpus.plan_docs(spark, d), docs=_docs(spark, d), blocks=_blocks(spark, d)))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return normalize.normalize(corpus.plan_docs(spark, d))
+    return _once(spark, d, "docs", lambda: durable(normalize.normalize(corpus.plan_docs(spark, d))))
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return segment.blocks(_docs(spark, d))
+    return _once(spark, d, "blocks", lambda: durable(segment.blocks(_docs(spark, d))))
 
 
 def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    done = pipeline.extract(corpus.plan_docs(spark, d))
+    done = _extraction(spark, d)
     return done.docs, done.blocks, done.packages
 
 
@@ -120,7 +135,7 @@ def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_NORM} SELECT n.doc_id, sha256(text) AS text_sha256, flat, sha256(raw) AS content_sha256 FROM n JOIN docs USING (doc_id)")
 def normalized_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "flat", "content_sha256")
+    return normalize.normalize(corpus.plan_docs(spark, d)).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "flat", "content_sha256")
 
 
 @query()

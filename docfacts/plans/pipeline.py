@@ -26,10 +26,12 @@ class Extraction:
         return rules.validate(self.docs, self.packages, self.info)
 
 
-def extract(raw: DataFrame, replies: DataFrame | None = None, anchor: str = normalize.PAGE_ANCHOR, heading: str = segment.PACKAGE_HEADING) -> Extraction:
-    """Text path over (doc_id, raw). replies: (doc_id, block_id, attempt, reply) of a model; without it the offline rules read the blocks."""
-    docs = durable(normalize.normalize(raw, anchor=anchor))
-    blocks = durable(segment.blocks(docs, heading))
+def extract(raw: DataFrame, replies: DataFrame | None = None, anchor: str = normalize.PAGE_ANCHOR, heading: str = segment.PACKAGE_HEADING, docs: DataFrame | None = None, blocks: DataFrame | None = None) -> Extraction:
+    """Text path over (doc_id, raw). replies: (doc_id, block_id, attempt, reply) of a model; without it the offline rules read the blocks.
+
+    docs and blocks: these stages, where they are written already."""
+    docs = durable(normalize.normalize(raw, anchor=anchor)) if docs is None else docs
+    blocks = durable(segment.blocks(docs, heading)) if blocks is None else blocks
     candidates = scanners.scan_packages(blocks)
     settled = model.stub_replies(blocks) if replies is None else model.settle(blocks, model.parse_replies(replies))
     packages = durable(merge.merge(docs, blocks, candidates, settled))

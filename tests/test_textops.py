@@ -53,3 +53,12 @@ def test_logical_lines_slug_and_numbers(spark):
     assert values(spark, ["Oral exams (2)!", "--", "x" * 60], X.slug(F.col("t"))) == ["oral_exams_2", "item", "x" * 40]
     assert values(spark, ["$1,200.50 and no copay, $3"], X.amounts(F.col("t"))) == [[1200.5, 3.0, 0.0]]
     assert values(spark, ["20 % or 5.5%"], X.percents(F.col("t"))) == [[20.0, 5.5]]
+
+
+def test_running_sums_and_many_matches(spark):
+    for n in (0, 1, 63, 64, 65, 5_000):
+        got = spark.range(1).select(X.running(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("int")) if n else F.array().cast("array<int>")).alias("s")).first()["s"]
+        assert got == [k * (k + 1) // 2 for k in range(n)]
+    text = "ab $5 €d. " * 20_000
+    found = spark.createDataFrame([(text,), ("",), (None,), ("x",)], "t string").select(X.regex_scan(F.col("t"), r"\$\d").alias("m")).collect()
+    assert len(found[0]["m"]) == 20_000 and found[0]["m"][-1]["start"] == len(text) - 7 and [r["m"] for r in found[1:]] == [[], None, []]

@@ -83,6 +83,18 @@ def settle(blocks: DataFrame, parsed: DataFrame, attempts: int = 2) -> DataFrame
     return out.select("doc_id", "block_id", "reply", F.col("reply").isNull().alias("degraded"), calls.alias("n_calls"), F.greatest(calls - 1, F.lit(0)).alias("n_repairs"))
 
 
+def totals(settled: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(doc_id, calls, repairs, retries, failures, blocks_degraded ARRAY<STRING>): sums over the blocks of each document.
+
+    settled: rows of settle(). asked: rows of calls.ask(), whose calls beyond the first of a prompt are retries and whose errors are failures.
+    """
+    out = settled.groupBy("doc_id").agg(F.sum("n_calls").alias("calls"), F.sum("n_repairs").alias("repairs"), F.array_sort(F.collect_list(F.when(F.col("degraded"), F.col("block_id")))).alias("blocks_degraded"))
+    if asked is None:
+        return out.select("doc_id", "calls", "repairs", F.lit(0).cast("bigint").alias("retries"), F.lit(0).cast("bigint").alias("failures"), "blocks_degraded")
+    tries = asked.groupBy("doc_id").agg(F.sum(F.greatest(F.col("calls") - 1, F.lit(0))).cast("bigint").alias("retries"), F.count("error").alias("failures"))
+    return out.join(tries, "doc_id", "left").fillna(0, ["retries", "failures"]).select("doc_id", "calls", "repairs", "retries", "failures", "blocks_degraded")
+
+
 # -- offline rules ---------------------------------------------------------------------------------------------------
 
 _SPAN = r"(each year|per year|per calendar year|each month|per month)"

@@ -118,18 +118,40 @@ def best_reading(readings: list[DataFrame], good_enough: float = GOOD_ENOUGH) ->
     return scored.where("score > 0").groupBy("doc_id", "page").agg(F.max_by(F.struct("strategy", "score"), rank).alias("b")).select("doc_id", "page", "b.strategy", "b.score")
 
 
-def choose(readings: list[DataFrame], fallback: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """Raw rows of the best reading of each page. fallback: rows of a costly reader, taken (whatever their score) only for pages of
-    ``pages`` (doc_id, page, has_codes, has_text) that hold codes or no text and that no other reading could read, and for at
-    most PAGE_BUDGET of those in each document."""
-    best = best_reading(readings)
-    rows = reduce(DataFrame.unionByName, readings).join(best.select("doc_id", "page", "strategy"), ["doc_id", "page", "strategy"], "left_semi")
+def page_outcomes(readings: list[DataFrame], pages: DataFrame, fallback: DataFrame | None = None, mode: str = "auto", budget: int = PAGE_BUDGET) -> DataFrame:
+    """(doc_id, page, outcome, strategy): what becomes of each page of ``pages`` (doc_id, page, has_codes, has_text) or of a reading.
+
+    outcome: read (by the strategy of best_reading), fallback (by the costly reader), over_budget (it would have been read by the
+    costly reader, but ``budget`` earlier pages of the document were), none (no rows) or unreadable (none, without text).
+    mode "auto": the costly reader gets the pages that hold codes or no text and that no other reading could read. "always": it
+    gets every page first, and the other readings those of which it gives no row. Its rows count whatever their score.
+    """
+    if mode not in ("auto", "always"):
+        raise ValueError(f"mode is auto or always, not {mode}")
+    best = best_reading(readings).select("doc_id", "page", "strategy")
+    told = pages.select("doc_id", "page", "has_codes", "has_text").distinct().join(best, ["doc_id", "page"], "full").fillna(False, ["has_codes"]).fillna(True, ["has_text"])
+    if fallback is None:
+        told = told.withColumns({"sent": F.lit(False), "nth": F.lit(0), "got": F.lit(None).cast("string")})
+    else:
+        sent = F.lit(True) if mode == "always" else F.col("strategy").isNull() & (F.col("has_codes") | ~F.col("has_text"))
+        told = told.withColumn("sent", sent).withColumn("nth", F.sum(F.col("sent").cast("int")).over(Window.partitionBy("doc_id").orderBy("page")))
+        costly = fallback.groupBy("doc_id", "page").agg(F.min("strategy").alias("got"))
+        told = told.join(costly, ["doc_id", "page"], "left")
+    within = F.col("sent") & (F.col("nth") <= budget)
+    outcome = F.when(within & F.col("got").isNotNull(), "fallback").when(F.col("strategy").isNotNull(), "read").when(F.col("sent") & ~within, "over_budget").when(F.col("has_text"), "none").otherwise("unreadable")
+    return told.select("doc_id", "page", outcome.alias("outcome"), F.when(within & F.col("got").isNotNull(), F.col("got")).otherwise(F.col("strategy")).alias("strategy"))
+
+
+def choose(readings: list[DataFrame], fallback: DataFrame | None = None, pages: DataFrame | None = None, mode: str = "auto", budget: int = PAGE_BUDGET) -> DataFrame:
+    """Raw rows of the reading of each page that page_outcomes names; pages beyond the budget are named there, and told by guide.checks.
+
+    Without ``pages`` the rows of best_reading, and no costly reader."""
     if fallback is None or pages is None:
-        return rows
-    wanted = pages.where("has_codes OR NOT has_text").join(best, ["doc_id", "page"], "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page"))
-    wanted = wanted.withColumn("nth", nth).where(F.col("nth") <= PAGE_BUDGET)
-    return rows.unionByName(fallback.join(wanted.select("doc_id", "page"), ["doc_id", "page"], "left_semi"))
+        best = best_reading(readings).select("doc_id", "page", "strategy")
+        return reduce(DataFrame.unionByName, readings).join(best, ["doc_id", "page", "strategy"], "left_semi")
+    told = page_outcomes(readings, pages, fallback, mode, budget)
+    rows = reduce(DataFrame.unionByName, readings).join(told.where("outcome = 'read'").select("doc_id", "page", "strategy"), ["doc_id", "page", "strategy"], "left_semi")
+    return rows.unionByName(fallback.join(told.where("outcome = 'fallback'").select("doc_id", "page"), ["doc_id", "page"], "left_semi"))
 
 
 def verify_cells(raw_rows: DataFrame, page_text: DataFrame) -> DataFrame:

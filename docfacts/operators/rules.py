@@ -171,3 +171,17 @@ def revalidate(nodes: DataFrame, docs: DataFrame, fix_offsets: bool = False) ->
         return checked.withColumns({"start": F.coalesce("found_start", "start"), "end": F.coalesce("found_end", "end")}).drop("found_start", "found_end", "withheld")
     odd = F.when((F.col("amount_usd") < 0) | ((F.col("amount_usd") == 0) & (F.col("kind") != "cost_share")), "numeric.not_positive").when((F.col("percent") < 0) | (F.col("percent") > 100), "numeric.percent_range")
     return groundedness(checked).unionByName(numeric(checked)).unionByName(checked.where(odd.isNotNull()).select(*_flag(odd, "error")))
+
+
+def code_shapes(packages: DataFrame) -> DataFrame:
+    """code.bad_shape: declared codes that aren't a letter D and four digits, once for each package."""
+    bad = _pathed(packages).where(F.exists("codes", lambda c: ~c["code"].rlike(r"^D\d{4}$")))
+    return bad.select(*_flag("code.bad_shape", "error", F.concat("base", F.lit("/codes"))))
+
+
+def review_missing(packages: DataFrame, grounded: DataFrame, told: DataFrame) -> DataFrame:
+    """review.flag_missing: packages with fields of low certainty whose committed needs_review (told: doc_id, package, needs_review) is not true."""
+    due = needs_review(packages, grounded).where("needs_review").select("doc_id", "package")
+    said = told.where("needs_review").select("doc_id", "package")
+    base = _pathed(packages).select("doc_id", F.col("block_id").alias("package"), "base")
+    return due.join(said, ["doc_id", "package"], "left_anti").join(base, ["doc_id", "package"]).select(*_flag("review.flag_missing", "error", "base"))

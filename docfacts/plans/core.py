@@ -11,6 +11,7 @@ from docfacts.functions import textops as X
 from docfacts.functions.tables import durable, table
 from docfacts.operators import calls, geometry, guide, jobs, mapping, merge, model, normalize, readers, rules, scanners, segment
 from docfacts.plans import corpus, pipeline
+from docfacts.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -371,6 +372,13 @@ def reply_contract(spark: SparkSession, d: str) -> DataFrame:
     return model.settle(_blocks(spark, d), model.parse_replies(_faulty_replies(spark, d))).select("doc_id", "block_id", "degraded", "n_calls")
 
 
+@query(f"""WITH {_NORM} SELECT doc_id, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(n - 1) AS BIGINT) AS repairs, coalesce(string_agg(block_id, ',' ORDER BY block_id) FILTER (doc_id % 6 = 3), '') AS blocks_degraded
+FROM (SELECT doc_id, block_id, CASE WHEN doc_id % 6 IN (1, 2) THEN 2 ELSE 1 END AS n FROM p) GROUP BY doc_id""")
+def call_totals(spark: SparkSession, d: str) -> DataFrame:
+    settled = model.settle(_blocks(spark, d), model.parse_replies(_faulty_replies(spark, d)))
+    return model.totals(settled).select("doc_id", "calls", "repairs", F.array_join("blocks_degraded", ",").alias("blocks_degraded"))
+
+
 @query()
 def model_prompts(spark: SparkSession, d: str) -> DataFrame:
     blocks = _blocks(spark, d)
@@ -424,6 +432,30 @@ def invariant_flags(spark: SparkSession, d: str) -> DataFrame:
     return rules.invariants(packages).select("doc_id", "rule", "path")
 
 
+@query(f"""WITH {_NORM} SELECT doc_id, 'code.bad_shape' AS rule, '/packages/' || CAST(block_seq - 1 AS VARCHAR) || '/codes' AS path FROM p WHERE doc_id % 13 = 4""")
+def code_shape_flags(spark: SparkSession, d: str) -> DataFrame:
+    _, _, packages = _merged(spark, d)
+    strange = F.transform("codes", lambda c, i: c.withField("code", F.when((F.pmod("doc_id", F.lit(13)) == 4) & (i == 0), F.lit("X12")).otherwise(c["code"])))
+    return rules.code_shapes(packages.withColumn("codes", strange)).select("doc_id", "rule", "path")
+
+
+_INVARIANT_ERRORS = f"""e AS (SELECT DISTINCT doc_id FROM p WHERE NOT EXISTS (SELECT 1 FROM ({_scan_sql('p', 'flat', 'doc_id, block_id', _PREMIUM, 'start')}) m WHERE m.doc_id = p.doc_id AND m.block_id = p.block_id)
+  OR (contains(flat, 'no copay for the preventive') AND contains(flat, 'You pay 10% for cleanings.')))"""
+
+
+@query(f"""WITH {_NORM}, {_INVARIANT_ERRORS} SELECT d.doc_id, 'text' AS kind, CASE WHEN d.doc_id % 17 = 0 THEN 'failed' WHEN e.doc_id IS NOT NULL THEN 'partial' ELSE 'succeeded' END AS status,
+CASE WHEN d.doc_id % 17 = 0 THEN 'input_rejected' END AS error_code, CASE WHEN d.doc_id % 17 = 0 THEN 'too_short' END AS error_message, CASE WHEN d.doc_id % 17 = 0 THEN 422 END AS http_status,
+CASE WHEN d.doc_id % 17 <> 0 THEN true END AS needs_review, CASE WHEN d.doc_id % 17 = 0 THEN 0 ELSE 2 END AS n_packages, 'unsupported_projection' AS csv_refusal FROM docs d LEFT JOIN e USING (doc_id)""")
+def job_status(spark: SparkSession, d: str) -> DataFrame:
+    """States of the synthesised documents, of which every seventeenth is cut to a few characters and refused."""
+    done = _extraction(spark, d)
+    metrics = _once(spark, d, "metrics", lambda: durable(done.validate()[1]))
+    usable = F.pmod("doc_id", F.lit(17)) != 0
+    sent = corpus.plan_docs(spark, d).withColumn("raw", F.when(usable, F.col("raw")).otherwise(F.left("raw", F.lit(20))))
+    found = jobs.projection(jobs.text_jobs(sent, done.packages.where(usable), metrics.where(usable), X.reject_reason(F.col("raw"))), "csv")
+    return found.select("doc_id", "kind", "status", F.col("error.code").alias("error_code"), F.col("error.message").alias("error_message"), F.col("error.http_status").alias("http_status"), "needs_review", "n_packages", F.col("refusal.code").alias("csv_refusal"))
+
+
 # -- guide path: grids -----------------------------------------------------------------------------------------------
 
 _TOKENS = "[" + ", ".join(f"'{t}'" for t in readers.HEADER_TOKENS) + "]"
@@ -455,7 +487,13 @@ def reader_scores(spark: SparkSession, d: str) -> DataFrame:
     return readers.reader_scores(_grid_rows(spark, d)).select("doc_id", "page", "n_rows", "score")
 
 
-@query()
+_ANY_SCORES = f"(WITH {_GRID} SELECT doc_id, page, avg(CASE WHEN len(list_filter(cells[2:], lambda c: length(trim(c)) > 3)) > 0 THEN 1 ELSE 0 END) AS score FROM r GROUP BY ALL)"
+_RULED_SCORES = _ANY_SCORES.replace("'heading' WHEN code IS NOT NULL THEN", "'heading' WHEN " + _put(_CODE_OF, "cells[1]") + " IS NOT NULL THEN")
+_CHOICE = f"""SELECT doc_id, page, CASE WHEN coalesce(a.score, 0) >= 0.8 THEN 'ruled' WHEN coalesce(b.score, 0) >= 0.8 THEN 'grid' WHEN coalesce(a.score, 0) >= coalesce(b.score, 0) THEN 'ruled' ELSE 'grid' END AS strategy, a.score AS ruled, b.score AS grid
+FROM {_RULED_SCORES} a FULL JOIN {_ANY_SCORES} b USING (doc_id, page) WHERE greatest(coalesce(a.score, 0), coalesce(b.score, 0)) > 0"""
+
+
+@query(f"SELECT doc_id, page, strategy, CASE strategy WHEN 'ruled' THEN ruled ELSE grid END AS score FROM ({_CHOICE})")
 def reader_choice(spark: SparkSession, d: str) -> DataFrame:
     grids = table(spark, d, "guide_cells")
     return readers.best_reading([readers.read_grids(grids), readers.read_grids(grids, "grid", code_anywhere=True)])
@@ -485,7 +523,47 @@ def unmapped_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extraction_report").select("report_id", F.explode(mapping.unmapped_labels(F.col("columns_detected"))).alias("label"))
 
 
-@query()
+_OUTCOMES = f"""
+c AS (SELECT doc_id, page, strategy FROM ({_CHOICE}) WHERE (doc_id + page) % 4 <> 0),
+p AS (SELECT DISTINCT doc_id, page, doc_id % 2 = 0 AS has_codes, doc_id % 5 <> 0 AS has_text FROM guide_cells),
+f AS (SELECT DISTINCT doc_id, page FROM {_ANY_SCORES} WHERE doc_id % 3 = 0),
+t AS (SELECT p.*, c.strategy, f.doc_id IS NOT NULL AS got FROM p LEFT JOIN c USING (doc_id, page) LEFT JOIN f USING (doc_id, page)),
+s AS (SELECT t.*, mode, mode = 'always' OR (strategy IS NULL AND (has_codes OR NOT has_text)) AS sent FROM t, (VALUES ('auto'), ('always')) AS m(mode)),
+n AS (SELECT *, sum(CASE WHEN sent THEN 1 ELSE 0 END) OVER (PARTITION BY mode, doc_id ORDER BY page) AS nth FROM s)
+"""
+
+
+@query(f"""WITH {_OUTCOMES} SELECT mode, doc_id, page, CASE WHEN sent AND nth <= 1 AND got THEN 'fallback' WHEN strategy IS NOT NULL THEN 'read' WHEN sent AND nth > 1 THEN 'over_budget' WHEN has_text THEN 'none' ELSE 'unreadable' END AS outcome,
+CASE WHEN sent AND nth <= 1 AND got THEN 'costly' ELSE strategy END AS strategy FROM n""")
+def page_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Both modes of the costly reader over pages of which some are lost to the other readers, with a budget of one page."""
+    grids = table(spark, d, "guide_cells")
+    lost = F.pmod(F.col("doc_id") + F.col("page"), F.lit(4)) != 0
+    readings = [readers.read_grids(grids).where(lost), readers.read_grids(grids, "grid", code_anywhere=True).where(lost)]
+    pages = grids.select("doc_id", "page").distinct().select("*", (F.col("doc_id") % 2 == 0).alias("has_codes"), (F.col("doc_id") % 5 != 0).alias("has_text"))
+    costly = readers.read_grids(grids, "costly", code_anywhere=True).where("doc_id % 3 = 0")
+    both = [readers.page_outcomes(readings, pages, costly, mode, budget=1).select(F.lit(mode).alias("mode"), "*") for mode in ("auto", "always")]
+    return both[0].unionByName(both[1])
+
+
+_OFTEN = " OR ".join(f"contains(lower(cell), '{w}')" for w in mapping.FREQUENCY_WORDS)
+_ROLE_STATS = rf"""
+c AS (SELECT doc_id, page, segment, unnest(generate_series(0, len(cells) - 1)) AS idx, unnest(cells) AS cell FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page, segment ORDER BY row_seq) AS nth FROM g2) WHERE nth <= 40),
+st AS (SELECT doc_id, page, segment, idx, coalesce(count(*) FILTER (trim(cell) <> '' AND regexp_matches(regexp_extract(trim(cell), '^\S+'), '^[A-Z]\d{{4}}[A-Z]?$')) / nullif(count(*) FILTER (trim(cell) <> ''), 0), 0) AS code,
+  coalesce(count(*) FILTER (trim(cell) <> '' AND (regexp_matches(trim(cell), '(?i)^\$?\s?\d[\d,]*(?:\.\d{{1,2}})?\s?%?(?:\s*(?:copay|coinsurance))?$') OR lower(trim(cell)) IN ('not covered', 'no charge', 'covered in full', 'n/a'))) / nullif(count(*) FILTER (trim(cell) <> ''), 0), 0) AS money,
+  coalesce(count(*) FILTER (trim(cell) <> '' AND ({_OFTEN})) / nullif(count(*) FILTER (trim(cell) <> ''), 0), 0) AS freq, avg(length(cell)) AS length FROM c GROUP BY ALL),
+r1 AS (SELECT doc_id, page, segment, 'code' AS role, max(idx) AS idx FROM (SELECT *, max(code) OVER (PARTITION BY doc_id, page, segment) AS top FROM st) WHERE code = top AND top >= 0.6 GROUP BY ALL),
+r2 AS (SELECT * FROM r1 UNION ALL SELECT doc_id, page, segment, CASE nth WHEN 1 THEN 'in_network' ELSE 'out_network' END, idx FROM (
+  SELECT doc_id, page, segment, idx, row_number() OVER (PARTITION BY doc_id, page, segment ORDER BY idx) AS nth FROM st WHERE money >= 0.6 AND NOT EXISTS (SELECT 1 FROM r1 WHERE r1.doc_id = st.doc_id AND r1.page = st.page AND r1.segment = st.segment AND r1.idx = st.idx)) WHERE nth <= 2),
+r3 AS (SELECT * FROM r2 UNION ALL SELECT doc_id, page, segment, 'frequency', max(idx) FROM (
+  SELECT *, max(freq) OVER (PARTITION BY doc_id, page, segment) AS top FROM st WHERE NOT EXISTS (SELECT 1 FROM r2 WHERE r2.doc_id = st.doc_id AND r2.page = st.page AND r2.segment = st.segment AND r2.idx = st.idx)) WHERE freq = top AND top >= 0.4 GROUP BY ALL),
+r4 AS (SELECT * FROM r3 UNION ALL SELECT doc_id, page, segment, 'description', max(idx) FROM (
+  SELECT *, max(length) OVER (PARTITION BY doc_id, page, segment) AS top FROM st WHERE NOT EXISTS (SELECT 1 FROM r3 WHERE r3.doc_id = st.doc_id AND r3.page = st.page AND r3.segment = st.segment AND r3.idx = st.idx)) WHERE length = top AND top >= 8 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_GRID}, sg AS (SELECT *, CAST(sum(CASE WHEN kind = 'header' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY table_seq, row_seq) AS INT) AS segment FROM w),
+g2 AS (SELECT doc_id, page, segment, table_seq * 1000000 + row_seq AS row_seq, cells FROM sg WHERE kind = 'data'), {_ROLE_STATS} SELECT doc_id, page, segment, role, CAST(idx AS INT) AS idx FROM r4""")
 def role_inference(spark: SparkSession, d: str) -> DataFrame:
     rows = _grid_rows(spark, d).withColumn("labels", F.lit(None).cast("array<string>"))
     return mapping.table_roles(rows, guide.TABLE, ["row_seq"]).select("doc_id", "page", "segment", F.explode("roles").alias("role", "idx"))
@@ -502,6 +580,53 @@ def guide_summaries(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "n_rows", "pages_with_rows", F.array_join("mapped", ",").alias("mapped"), F.array_join("unmapped", "|").alias("unmapped"), "filled_share")
 
 
+_NAMED = """
+f AS (SELECT guide_id, dental_code, arg_min(coalesce(description, '-'), (coalesce(page, -1), row_id)) AS description, arg_min(coalesce(benefit_group, '-'), (coalesce(page, -1), row_id)) AS grp, min((coalesce(page, -1), row_id)) AS place FROM benefit_rows WHERE row_id % 3 <> 0 AND dental_code IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY guide_id ORDER BY place, dental_code) - 1 AS nth FROM f)"""
+
+
+@query(f"""WITH {_NAMED} SELECT guide_id AS doc_id, CAST(nth // 4 AS INT) AS batch, string_agg(dental_code, ',' ORDER BY nth) AS codes, sha256(string_agg(dental_code || ' | ' || description || ' | section heading: ' || grp, chr(10) ORDER BY nth)) AS lines_sha256 FROM n GROUP BY ALL""")
+def group_batches(spark: SparkSession, d: str) -> DataFrame:
+    found = guide.group_batches(_named_rows(spark, d), size=4)
+    return found.select("doc_id", "batch", F.array_join("codes", ",").alias("codes"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256"))
+
+
+@query(f"""WITH {_NAMED}, b AS (SELECT guide_id, dental_code, nth // 4 AS batch FROM n), s AS (SELECT guide_id, min(batch) AS stop FROM b WHERE (guide_id + batch) % 5 = 3 GROUP BY guide_id)
+SELECT b.guide_id AS doc_id, dental_code, trim(regexp_replace('Group of ' || dental_code, '\\s+', ' ', 'g')) AS name, s.stop IS NOT NULL AS degraded FROM b LEFT JOIN s USING (guide_id) WHERE s.stop IS NULL OR batch < s.stop""")
+def batch_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names out of replies of which some are no JSON: such a batch, and the document's later ones, name nothing."""
+    batches = guide.group_batches(_named_rows(spark, d), size=4)
+    reply = F.to_json(F.struct(F.transform("codes", lambda c: F.struct(c.alias("code"), F.concat(F.lit("Group  of "), c).alias("benefit_group"))).alias("groups")))
+    replies = batches.select("doc_id", "batch", F.when(F.pmod(F.col("doc_id") + F.col("batch"), F.lit(5)) != 3, reply).otherwise("sorry").alias("reply"))
+    names, degraded = guide.batch_names(batches, replies)
+    return names.join(degraded.select("doc_id", F.lit(True).alias("degraded")), "doc_id", "left").fillna(False, ["degraded"])
+
+
+def _named_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benefit_rows").where("dental_code IS NOT NULL")
+    source = F.when(F.col("row_id") % 3 == 0, "column").otherwise("heading")
+    return rows.select(F.col("guide_id").alias("doc_id"), "page", F.lit(0).alias("segment"), F.col("row_id").alias("row_seq"), "dental_code", "description", "benefit_group", source.alias("group_source"))
+
+
+def _csv_cell(c: str) -> str:
+    return f"""CASE WHEN regexp_matches({c}, '[",\r\n]') THEN '"' || replace({c}, '"', '""') || '"' ELSE coalesce({c}, '') END"""
+
+
+@query(f"""SELECT guide_id, sha256('dental_code,description,frequency' || chr(13) || chr(10) || string_agg({_csv_cell("dental_code")} || ',' || {_csv_cell("description")} || ',' || {_csv_cell("frequency")} || chr(13) || chr(10), '' ORDER BY page NULLS FIRST, row_id)) AS csv_sha256, count(*) AS n_lines FROM benefit_rows GROUP BY guide_id""")
+def guide_csv_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benefit_rows")
+    texts = files.csv_text(rows, ["guide_id"], ["dental_code", "description", "frequency"], ["page", "row_id"])
+    return texts.select("guide_id", F.sha2("csv", 256).alias("csv_sha256")).join(rows.groupBy("guide_id").agg(F.count(F.lit(1)).alias("n_lines")), "guide_id")
+
+
+@query()
+def guide_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Run reports of the guides of guide_cells."""
+    found = pipeline.read_guides(_grid_rows(spark, d))
+    known = table(spark, d, "extraction_report").groupBy(F.col("guide_id").alias("doc_id")).agg(F.max("file_name").alias("file"), F.max("n_pages").alias("pages"), F.max("csv_path").alias("csv"))
+    return files.run_report(found.summaries, found.flags, known.withColumn("error", F.when(F.col("doc_id") % 11 == 0, "not_pdf"))).drop("strategies")
+
+
 @query()
 def guide_checks(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.read_guides(_grid_rows(spark, d)).flags
@@ -653,6 +778,12 @@ def job_replays(spark: SparkSession, d: str) -> DataFrame:
     return jobs.submit(table(spark, d, "documents"), content="text")[1]
 
 
+@query("SELECT doc_id FROM documents ORDER BY received_at DESC NULLS LAST, doc_id DESC LIMIT 100")
+def kept_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The newest hundred jobs, the bound of a job store."""
+    return jobs.kept_jobs(table(spark, d, "documents").select("doc_id", "received_at"), 100, "received_at").select("doc_id")
+
+
 class _FlakyOffline:
     """A client for tests of the calls: some prompts fail once and then pass, others never pass."""
 

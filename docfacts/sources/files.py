@@ -62,20 +62,31 @@ def to_json(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.select(id_col, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV files with header, quoted where needed."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None, keep: list[str] | None = None) -> None:
+    """A folder of CSV files with header and CRLF line ends, quoted where needed; with ``order`` the rows of the files, one after the other, in that order."""
+    df = df.orderBy(*order) if order else df
+    df.select(*(keep or df.columns)).write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
-def csv_text(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, csv): each key's rows as CSV with header and CRLF line ends, rows in the order of their text."""
+def csv_text(df: DataFrame, keys: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """(keys, csv): each key's rows as CSV with header and CRLF line ends, in reading order, which the columns ``order`` give; equal places by their text."""
     quoted = lambda c: F.when(F.col(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c), F.lit("")))
     line = F.concat_ws(",", *[quoted(c) for c in columns])
     head = ",".join(f'"{c}"' if "," in c else c for c in columns)
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("ls")).select(*keys, F.concat(F.lit(head + "\r\n"), F.array_join(F.transform("ls", lambda x: F.concat(x, F.lit("\r\n"))), "")).alias("csv"))
+    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], line.alias("l")))).alias("ls"))
+    return lists.select(*keys, F.concat(F.lit(head + "\r\n"), F.array_join(F.transform("ls", lambda x: F.concat(x["l"], F.lit("\r\n"))), "")).alias("csv"))
 
 
-def run_report(summaries: DataFrame, flags: DataFrame) -> DataFrame:
-    """(doc_id, rows, pages_with_rows, columns_detected, columns_mapped, columns_unmapped, strategies, flags): one row for each document."""
+def run_report(summaries: DataFrame, flags: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(doc_id, file, rows, pages, pages_with_rows, columns_detected, columns_mapped, columns_unmapped, strategies, flags, csv, error): one row for each document.
+
+    files: doc_id, file, pages INT, csv, error of the run's files; a file with an error stays in the report with its error alone."""
     told = flags.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rule", "severity", "n"))).alias("flags"))
-    return summaries.join(told, "doc_id", "left").select("doc_id", F.col("n_rows").alias("rows"), "pages_with_rows", F.col("labels").alias("columns_detected"), F.col("mapped").alias("columns_mapped"), F.col("unmapped").alias("columns_unmapped"), "strategies", F.coalesce("flags", F.array().cast("array<struct<rule:string,severity:string,n:bigint>>")).alias("flags"))
+    null = F.lit(None).cast("string")
+    known = summaries.select("doc_id", null.alias("file"), F.lit(None).cast("int").alias("pages"), null.alias("csv"), null.alias("error")) if files is None else files.select("doc_id", "file", "pages", "csv", "error")
+    out = known.join(summaries, "doc_id", "left").join(told, "doc_id", "left")
+    flags_ = F.coalesce("flags", F.array().cast("array<struct<rule:string,severity:string,n:bigint>>"))
+    return out.select(
+        "doc_id", "file", F.when(F.col("error").isNull(), F.coalesce("n_rows", F.lit(0))).alias("rows"), "pages", "pages_with_rows", F.col("labels").alias("columns_detected"), F.col("mapped").alias("columns_mapped"),
+        F.col("unmapped").alias("columns_unmapped"), "strategies", flags_.alias("flags"), F.when(F.col("error").isNull(), F.col("csv")).alias("csv"), "error",
+    )

@@ -106,3 +106,41 @@ def test_best_reading_fallback_and_verification(spark):
     assert sorted((r["page"], r["strategy"]) for r in chosen.collect()) == [(1, "ruled"), (2, "grid"), (3, "costly")]
     text = spark.createDataFrame([(1, 1, "D0120 Periodic check"), (1, 2, "nothing")], "doc_id long, page int, text string")
     assert [r["cells"][:3] for r in readers.verify_cells(loose, text).collect()] == [["D0120", "Periodic check", "1"]]
+
+
+def test_pages_beyond_the_budget_are_told(spark):
+    raw = "doc_id long, page int, strategy string, segment int, row_seq int, grp string, labels array<string>, cells array<string>"
+    ruled = spark.createDataFrame([(1, 1, "ruled", 1, 0, None, None, ["D0120", "A long text"])], raw)
+    costly = spark.createDataFrame([(1, p, "costly", 1, 0, None, None, ["D0120", "x"]) for p in (1, 2, 3, 4)], raw)
+    pages = spark.createDataFrame([(1, 1, True, True), (1, 2, True, True), (1, 3, False, False), (1, 4, True, False), (1, 5, False, True), (2, 1, False, False)], "doc_id long, page int, has_codes boolean, has_text boolean")
+    got = {tuple(r)[:3] for r in readers.page_outcomes([ruled], pages, costly, budget=2).collect()}
+    assert got == {(1, 1, "read"), (1, 2, "fallback"), (1, 3, "fallback"), (1, 4, "over_budget"), (1, 5, "none"), (2, 1, "unreadable")}
+    always = {tuple(r)[:3] for r in readers.page_outcomes([ruled], pages, costly, "always", budget=2).collect()}
+    assert always == {(1, 1, "fallback"), (1, 2, "fallback"), (1, 3, "over_budget"), (1, 4, "over_budget"), (1, 5, "over_budget"), (2, 1, "unreadable")}
+    rows = guide.benefit_rows(readers.choose([ruled], costly, pages, budget=2))
+    told = guide.checks(rows, guide.summaries(ruled, rows), readers.page_outcomes([ruled], pages, costly, budget=2))
+    assert {(r["doc_id"], r["n"]) for r in told.collect() if r["rule"] == "dental_guide.pages_unreadable"} == {(1, 1), (2, 1)}
+    assert {r["doc_id"] for r in told.collect() if r["rule"] == "dental_guide.no_rows"} == {2}
+
+
+def test_a_table_without_code_column_takes_the_best_roles_so_far(spark):
+    raw = "doc_id long, page int, strategy string, segment int, row_seq int, grp string, labels array<string>, cells array<string>"
+    full, other = ["Code", "Description", "Frequency"], ["Description", "Code", "Frequency"]
+    rows = spark.createDataFrame([
+        (1, 1, "ruled", 1, 0, None, full, ["D0120", "First description", "1 per year"]), (1, 2, "ruled", 1, 0, None, ["Colour", "Shape", "Size"], ["D0140", "Second description", "2 per year"]),
+        (1, 3, "ruled", 1, 0, None, other, ["Third description", "D0150", "3 per year"]), (1, 4, "ruled", 1, 0, None, ["x", "y"], ["D0160", "Fourth description"]),
+    ], raw)
+    roles = {r["page"]: r["roles"] for r in guide.carried_roles(rows).collect()}
+    assert roles[1] == {"code": 0, "description": 1, "frequency": 2} and roles[3] == {"description": 0, "code": 1, "frequency": 2} and roles[2]["code"] == 0
+
+
+def test_jobs_states_and_errors(spark):
+    from docfacts.operators import jobs
+
+    files_ = spark.createDataFrame([(1, None, None), (2, "not_pdf", None), (3, None, "ValueError: x"), (4, None, None)], "doc_id long, reject_reason string, error string")
+    rows = spark.createDataFrame([(1,), (1,)], "doc_id long")
+    flags = spark.createDataFrame([(1, "info"), (4, "error")], "doc_id long, severity string")
+    got = {r["doc_id"]: (r["status"], r["error"] and r["error"]["http_status"], r["row_count"]) for r in jobs.guide_jobs(files_, rows, flags).collect()}
+    assert got == {1: ("succeeded", None, 2), 2: ("failed", 422, None), 3: ("failed", 500, None), 4: ("partial", None, 0)}
+    kept = jobs.kept_jobs(spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, None)], "doc_id long, created_at long"), 2)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2}

@@ -52,7 +52,7 @@ def test_files_in_and_out(spark, tmp_path):
     assert files.without_text_layer(found, spark.createDataFrame(words, files.WORDS + ", error string")).count() == 1
     assert files.read_texts(spark, str(tmp_path / "in/t.txt")).first()["reject_reason"] is None
     df = spark.createDataFrame([(1, 'say "hi", now', None)], "k int, a string, b string")
-    assert files.csv_text(df, ["k"], ["a", "b"]).first()["csv"] == 'a,b\r\n"say ""hi"", now",\r\n'
+    assert files.csv_text(df, ["k"], ["a", "b"], ["a"]).first()["csv"] == 'a,b\r\n"say ""hi"", now",\r\n'
     assert files.to_json(df, "k").first()["json"] == '{"k":1,"a":"say \\"hi\\", now","b":null}'
 
 

@@ -3,7 +3,9 @@
 Similarity flooding: each issue is a small schema graph (its table, the columns in their order, their types). The
 similarity of every pair of columns of two consecutive issues starts from fields, labels and contents, and is
 propagated over pairs whose graph neighbours are alike until it converges. From the converged scores one consistent
-set of correspondences is chosen, which must satisfy the stated conditions; then cells are cast and united.
+set of correspondences is chosen among the pairs that satisfy the stated conditions: where a column has one such partner
+the condition decides, where several compete (labels that stand twice, columns of equal contents) the scores do. Then
+cells are cast and united.
 """
 
 from __future__ import annotations
@@ -93,9 +95,14 @@ def data_cells(cells: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def column_types(long: DataFrame) -> DataFrame:
-    """(guide_id, idx, type): the type of more than half of a column's filled cells, else text."""
-    kinds = long.groupBy("guide_id", "idx", cell_type(F.col("cell")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    return kinds.groupBy("guide_id", "idx").agg(F.max_by("type", "n").alias("type"), F.max("n").alias("most"), F.sum("n").alias("all")).select("guide_id", "idx", F.when(F.col("most") * 2 > F.col("all"), F.col("type")).otherwise("text").alias("type"))
+    """(guide_id, types MAP<INT, STRING>): of each column with filled cells the type of more than half of them, else text.
+
+    Counted per column, pre-aggregated, so that a large guide doesn't meet in one task; only a guide's columns do."""
+    names = [name for name, _ in TYPE_FORMS]
+    kind = long.select("guide_id", "idx", cell_type(F.col("cell")).alias("t"))
+    counts = kind.groupBy("guide_id", "idx").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("t") == name).alias(name) for name in names])
+    major = F.coalesce(*[F.when(F.col(name) * 2 > F.col("n"), name) for name in names], F.lit("text"))
+    return counts.select("guide_id", "idx", major.alias("type")).groupBy("guide_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "type"))).alias("types"))
 
 
 def shared_content(long: DataFrame, pairs: DataFrame, leftover: DataFrame) -> DataFrame:
@@ -139,6 +146,12 @@ def flood(start: np.ndarray, types_a: list[str], types_b: list[str], rounds: int
     return score
 
 
+def dice(a: str, b: str) -> float:
+    """Share of common pairs of neighbouring characters of two labels."""
+    x, y = {a[i : i + 2] for i in range(len(a) - 1)}, {b[i : i + 2] for i in range(len(b) - 1)}
+    return 2 * len(x & y) / (len(x) + len(y)) if x and y else float(a == b)
+
+
 def correspondences(a: list, b: list, shares: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """One consistent set of corresponding columns (places in a and b) of two issues; columns have label, bare, field, type.
 
@@ -156,7 +169,7 @@ def correspondences(a: list, b: list, shares: dict[tuple[int, int], float]) -> l
             elif x["field"] is None and y["field"] is None and x["bare"] == y["bare"]:
                 rank[i, j], start[i, j] = 1, 0.95
             elif x["field"] is None and y["field"] is None:
-                start[i, j] = 0.9 * share
+                start[i, j] = 0.9 * share + 0.05 * dice(x["bare"], y["bare"])
                 if share >= SAME_CONTENT - 1e-12:
                     rank[i, j] = 2
     score = flood(start, [x["type"] for x in a], [y["type"] for y in b])
@@ -174,17 +187,18 @@ def matched(reports: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame,
     earlier, later, a, label_a, type_a, b, label_b, type_b, where one side is null for a column without partner."""
     issues = durable(guides(reports))
     long = durable(data_cells(cells, issues))
-    pairs = consecutive(issues)
-    columns = issues.select("guide_id", "series_id", "issued_on", F.explode("cols").alias("c")).select("guide_id", "series_id", "issued_on", "c.*", bare(F.col("c.label")).alias("bare"))
-    columns = columns.join(column_types(long), ["guide_id", "idx"], "left").fillna("text", ["type"])
-    lists = columns.groupBy("guide_id").agg(F.array_sort(F.collect_list(F.struct("idx", "label", "bare", "field", "type"))).alias("cols"))
-    loose = columns.where("field IS NULL").select("guide_id", "idx", "bare")
-    x, y = loose.select(F.col("guide_id").alias("earlier"), F.col("idx").alias("a"), "bare"), loose.select(F.col("guide_id").alias("later"), F.col("idx").alias("b"), "bare")
-    same = pairs.join(x, "earlier").join(y, ["later", "bare"])
-    left = pairs.join(x, "earlier").join(same.select("earlier", "later", "a"), ["earlier", "later", "a"], "left_anti").select(F.col("earlier").alias("guide_id"), F.col("a").alias("idx"))
-    right = pairs.join(y, "later").join(same.select("earlier", "later", "b"), ["earlier", "later", "b"], "left_anti").select(F.col("later").alias("guide_id"), F.col("b").alias("idx"))
-    shares = shared_content(long, pairs, left.union(right).distinct())
-    wide = pairs.join(lists.select(F.col("guide_id").alias("earlier"), F.col("cols").alias("ca")), "earlier").join(lists.select(F.col("guide_id").alias("later"), F.col("cols").alias("cb")), "later").join(shares, ["earlier", "later"], "left")
+    typed = issues.join(column_types(long), "guide_id", "left")
+    column = lambda c: F.struct(c["idx"].alias("idx"), c["label"].alias("label"), bare(c["label"]).alias("bare"), c["field"].alias("field"), F.coalesce(F.try_element_at("types", c["idx"]), F.lit("text")).alias("type"))
+    lists = durable(typed.select("guide_id", "series_id", "issued_on", F.transform("cols", column).alias("cols")))
+    columns = lists.select("guide_id", "series_id", "issued_on", F.explode("cols").alias("c")).select("guide_id", "series_id", "issued_on", "c.*")
+    side = lambda name, c: lists.select(F.col("guide_id").alias(name), F.col("cols").alias(c))
+    wide = durable(consecutive(issues).join(side("earlier", "ca"), "earlier").join(side("later", "cb"), "later"))
+    # Unmapped columns without a partner of their label: only their contents are compared.
+    alone = lambda own, other: F.filter(own, lambda c: c["field"].isNull() & ~F.exists(other, lambda o: o["field"].isNull() & (o["bare"] == c["bare"])))
+    loose = wide.select("earlier", "later", F.transform(alone("ca", "cb"), lambda c: c["idx"]).alias("ia"), F.transform(alone("cb", "ca"), lambda c: c["idx"]).alias("ib")).where("size(ia) > 0 AND size(ib) > 0")
+    left, right = loose.select(F.col("earlier").alias("guide_id"), F.explode("ia").alias("idx")), loose.select(F.col("later").alias("guide_id"), F.explode("ib").alias("idx"))
+    shares = shared_content(long, loose.select("earlier", "later"), left.union(right).distinct())
+    wide = wide.join(shares, ["earlier", "later"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -253,14 +267,14 @@ def united(reports: DataFrame, cells: DataFrame, every: bool = False) -> DataFra
     columns, long, links = matched(reports, cells)
     nodes = columns.select("guide_id", "idx", "series_id", "label", "field", "type")
     step = links.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("later").alias("guide_id"), F.col("b").alias("idx"), F.col("earlier").alias("to_guide"), F.col("a").alias("to_idx"))
-    ptr = durable(nodes.select("guide_id", "idx").join(step, ["guide_id", "idx"], "left").select("guide_id", "idx", F.coalesce("to_guide", "guide_id").alias("to_guide"), F.when(F.col("to_guide").isNull(), F.col("idx")).otherwise(F.col("to_idx")).alias("to_idx")))
-    while True:
-        other = ptr.select(F.col("guide_id").alias("to_guide"), F.col("idx").alias("to_idx"), F.col("to_guide").alias("g2"), F.col("to_idx").alias("i2"))
-        nxt = durable(ptr.join(other, ["to_guide", "to_idx"]).select("guide_id", "idx", F.col("g2").alias("to_guide"), F.col("i2").alias("to_idx"), ((F.col("g2") != F.col("to_guide")) | (F.col("i2") != F.col("to_idx"))).alias("moved")))
-        moved = nxt.where("moved").limit(1).count()
-        ptr = nxt.drop("moved")
-        if not moved:
-            break
+    step = nodes.select("guide_id", "idx").join(step, ["guide_id", "idx"], "left")
+    ptr = durable(step.select("guide_id", "idx", F.coalesce("to_guide", "guide_id").alias("to_guide"), F.coalesce("to_idx", "idx").alias("to_idx"), F.col("to_guide").isNull().alias("done")))
+    settled, moving = ptr.where("done"), ptr.where("NOT done")
+    while moving.limit(1).count():  # only columns whose chain isn't followed to its end are read and written again
+        known = settled.union(moving).select(F.col("guide_id").alias("to_guide"), F.col("idx").alias("to_idx"), F.col("to_guide").alias("g2"), F.col("to_idx").alias("i2"), F.col("done").alias("d2"))
+        nxt = durable(moving.join(known, ["to_guide", "to_idx"]).select("guide_id", "idx", F.col("g2").alias("to_guide"), F.col("i2").alias("to_idx"), F.col("d2").alias("done")))
+        settled, moving = settled.union(nxt.where("done")), nxt.where("NOT done")
+    ptr = settled.drop("done")
     first = nodes.select(F.col("guide_id").alias("to_guide"), F.col("idx").alias("to_idx"), F.coalesce("field", "label").alias("column_name"))
     named = nodes.join(ptr, ["guide_id", "idx"]).join(first, ["to_guide", "to_idx"])
     kinds = named.groupBy("to_guide", "to_idx").agg(F.collect_set("type").alias("kinds"))

@@ -206,6 +206,17 @@ def test_all_cells_are_united(spark):
     assert of[30, 1, "Fee"][:3] == ("t", None, "7") and of[40, 1, "Fee"][:3] == ("u", None, "7") and of[50, 1, "Fee"][:3] == (None, None, "7")
 
 
+def test_scores_choose_between_competing_columns():
+    col = lambda idx, label, kind="text", field=None: {"idx": idx, "label": label, "bare": label.lower().replace(" ", ""), "field": field, "type": kind}
+    # Both leftovers of the later issue hold the same contents; neighbours and names tell which is which.
+    a = [col(0, "Code", field="code"), col(1, "Waiting months", "whole"), col(2, "Notes"), col(3, "Fee", "dollar")]
+    b = [col(0, "Fee", "dollar"), col(1, "Age limit", "whole"), col(2, "Code", field="code"), col(3, "Waiting span", "whole"), col(4, "Notes")]
+    assert dict(drift.correspondences(a, b, {(1, 1): 0.9, (1, 3): 0.9})) == {0: 2, 1: 3, 2: 4, 3: 0}
+    # A label that stands twice: the copy beside the same neighbour wins.
+    a, b = [col(0, "Code", field="code"), col(1, "Fee", "dollar"), col(2, "End")], [col(0, "Fee", "text"), col(1, "Other"), col(2, "Code", field="code"), col(3, "Fee", "dollar"), col(4, "End")]
+    assert dict(drift.correspondences(a, b, {}))[1] == 3
+
+
 def test_flooding_converges_and_prefers_like_neighbours():
     start = np.array([[1.0, 0, 0], [0, 0.4, 0.4], [0, 0, 1.0]])
     score = drift.flood(start, ["text", "whole", "text"], ["text", "whole", "text"])

@@ -118,32 +118,46 @@ def shared_content(long: DataFrame, pairs: DataFrame, leftover: DataFrame) -> Da
     return both.groupBy("earlier", "later").agg(F.collect_list(F.struct("a", "b", "share")).alias("shares"))
 
 
-def flood(start: np.ndarray, types_a: list[str], types_b: list[str], rounds: int = 60, stop: float = 1e-4) -> np.ndarray:
-    """Converged similarities of the column pairs of two schema graphs, the largest being 1.
+#: Types of columns, and the numbers of pairs of columns that are flooded at once.
+KINDS, AT_ONCE = [*(name for name, _ in TYPE_FORMS), "text"], 1_000_000
+
 
-    A pair's score flows to the pairs of their left and right neighbours, to the pair of their types and back from it,
-    each edge carrying an equal part of what leaves a pair; the start scores flow in at every round.
+def flood_many(starts: list[np.ndarray], types_a: list[list[str]], types_b: list[list[str]], rounds: int = 60, stop: float = 1e-4) -> list[np.ndarray]:
+    """Converged similarities of the column pairs of many pairs of schema graphs, the largest of each being 1.
+
+    A pair's score flows to the pairs of their left and right neighbours, to the pair of their types and of their tables and
+    back from these, each edge carrying an equal part of what leaves a pair; the start scores flow in at every round. All graphs
+    are flooded together, padded to one size; one that has converged stands still.
     """
-    n, m = start.shape
-    kinds = sorted({*types_a, *types_b})
-    ta = np.array([[t == k for k in kinds] for t in types_a], float)
-    tb = np.array([[t == k for k in kinds] for t in types_b], float)
-    members = np.maximum(ta.sum(0)[:, None] * tb.sum(0)[None, :], 1)
-    score = start.copy()
+    n, m = max(x.shape[0] for x in starts), max(x.shape[1] for x in starts)
+    start, mask = np.zeros((len(starts), n, m)), np.zeros((len(starts), n, m))
+    ta, tb = np.zeros((len(starts), n, len(KINDS))), np.zeros((len(starts), m, len(KINDS)))
+    for k, (x, a, b) in enumerate(zip(starts, types_a, types_b)):
+        start[k, : x.shape[0], : x.shape[1]], mask[k, : x.shape[0], : x.shape[1]] = x, 1
+        ta[k, range(len(a)), [KINDS.index(t) for t in a]] = 1
+        tb[k, range(len(b)), [KINDS.index(t) for t in b]] = 1
+    members = np.maximum(ta.sum(1) * tb.sum(1), 1)
+    cells = np.maximum(mask.sum((1, 2)), 1)[:, None, None]
+    score, live = start.copy(), np.arange(len(starts))
     for _ in range(rounds):
-        x = start + score
+        x, a, b = start[live] + score[live], ta[live], tb[live].transpose(0, 2, 1)
         side = np.zeros_like(x)
-        side[1:, 1:] += x[:-1, :-1] / 2
-        side[:-1, :-1] += x[1:, 1:] / 2
-        kind = (ta.T @ x @ tb) / members  # mean over the pairs of these types
-        kind *= np.eye(len(kinds))
-        nxt = x + 0.3 * side + 0.3 * (ta @ kind @ tb.T) + 0.05 * x.mean()
-        nxt /= max(nxt.max(), 1e-12)
-        done = np.abs(nxt - score).max() < stop
-        score = nxt
-        if done:
+        side[:, 1:, 1:] += x[:, :-1, :-1] / 2
+        side[:, :-1, :-1] += x[:, 1:, 1:] / 2
+        kind = ((a.transpose(0, 2, 1) @ x) * b).sum(2) / members[live]  # mean over the pairs of two columns of one type
+        nxt = (x + 0.3 * side + 0.3 * ((a * kind[:, None, :]) @ b) + 0.05 * x.sum((1, 2), keepdims=True) / cells[live]) * mask[live]
+        nxt /= np.maximum(nxt.max((1, 2), keepdims=True), 1e-12)
+        moved = np.abs(nxt - score[live]).max((1, 2)) >= stop
+        score[live] = nxt
+        live = live[moved]
+        if not len(live):
             break
-    return score
+    return [score[k, : x.shape[0], : x.shape[1]] for k, x in enumerate(starts)]
+
+
+def flood(start: np.ndarray, types_a: list[str], types_b: list[str], rounds: int = 60, stop: float = 1e-4) -> np.ndarray:
+    """flood_many() for one pair of schema graphs."""
+    return flood_many([start], [types_a], [types_b], rounds, stop)[0]
 
 
 def dice(a: str, b: str) -> float:
@@ -152,27 +166,29 @@ def dice(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y)) if x and y else float(a == b)
 
 
-def correspondences(a: list, b: list, shares: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """One consistent set of corresponding columns (places in a and b) of two issues; columns have label, bare, field, type.
+def allowed(a: list, b: list, shares: dict[tuple[int, int], float]) -> tuple[np.ndarray, dict[tuple[int, int], int]]:
+    """(start scores, ranks of the pairs that satisfy a condition) of the columns of two issues; columns have idx, label, bare, field, type.
 
-    Allowed are (1) columns of one field, (2) unmapped columns of equal bare labels, (3) unmapped columns that have no
-    partner by (2) and share enough content. Of competing pairs of one rank the higher converged score wins, then the
-    earlier columns.
-    """
+    Rank 0: columns of one field; 1: unmapped columns of equal bare labels; 2: unmapped columns that share enough content."""
     start = np.zeros((len(a), len(b)))
     rank: dict[tuple[int, int], int] = {}
     for i, x in enumerate(a):
         for j, y in enumerate(b):
-            share = shares.get((x["idx"], y["idx"]), 0.0)
-            if x["field"] is not None and x["field"] == y["field"]:
-                rank[i, j], start[i, j] = 0, 1
-            elif x["field"] is None and y["field"] is None and x["bare"] == y["bare"]:
+            if x["field"] is not None or y["field"] is not None:
+                if x["field"] == y["field"]:
+                    rank[i, j], start[i, j] = 0, 1
+            elif x["bare"] == y["bare"]:
                 rank[i, j], start[i, j] = 1, 0.95
-            elif x["field"] is None and y["field"] is None:
+            else:
+                share = shares.get((x["idx"], y["idx"]), 0.0)
                 start[i, j] = 0.9 * share + 0.05 * dice(x["bare"], y["bare"])
                 if share >= SAME_CONTENT - 1e-12:
                     rank[i, j] = 2
-    score = flood(start, [x["type"] for x in a], [y["type"] for y in b])
+    return start, rank
+
+
+def consistent(rank: dict[tuple[int, int], int], score: np.ndarray) -> list[tuple[int, int]]:
+    """One set of pairs in which each column stands once: by rank, then by converged score, then the earlier columns."""
     out, used_a, used_b = [], set(), set()
     for i, j in sorted(rank, key=lambda p: (rank[p], -round(score[p], 9), p)):
         if i not in used_a and j not in used_b:
@@ -182,6 +198,27 @@ def correspondences(a: list, b: list, shares: dict[tuple[int, int], float]) -> l
     return out
 
 
+def correspondences(a: list, b: list, shares: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """One consistent set of corresponding columns (places in a and b) of two issues (see allowed and consistent)."""
+    start, rank = allowed(a, b, shares)
+    return consistent(rank, flood(start, [x["type"] for x in a], [y["type"] for y in b])) if len(a) and len(b) else []
+
+
+def all_correspondences(issues: list[tuple[list, list, dict]]) -> Iterator[tuple[list, list, list[tuple[int, int]]]]:
+    """(a, b, correspondences) of many pairs of issues (a, b, shares), flooded together; those of like size in one go."""
+    order = sorted(range(len(issues)), key=lambda k: len(issues[k][0]) * len(issues[k][1]))
+    while order:
+        n, m = max(len(issues[k][0]) for k in order), max(len(issues[k][1]) for k in order)
+        few = max(1, AT_ONCE // max(n * m, 1))
+        now, order = order[-few:], order[:-few]
+        made = [allowed(*issues[k]) for k in now]
+        live = [i for i, k in enumerate(now) if len(issues[k][0]) and len(issues[k][1])]
+        scores = flood_many([made[i][0] for i in live], [[c["type"] for c in issues[now[i]][0]] for i in live], [[c["type"] for c in issues[now[i]][1]] for i in live]) if live else []
+        found = dict(zip(live, scores))
+        for i, k in enumerate(now):
+            yield issues[k][0], issues[k][1], consistent(made[i][1], found[i]) if i in found else []
+
+
 def matched(reports: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(columns, cells, links): links has a row for each column of two consecutive issues:
     earlier, later, a, label_a, type_a, b, label_b, type_b, where one side is null for a column without partner."""
@@ -202,13 +239,14 @@ def matched(reports: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for earlier, later, ca, cb, got in zip(pdf["earlier"], pdf["later"], pdf["ca"], pdf["cb"], pdf["shares"]):
-                a, b = list(ca), list(cb)
-                pairs_ = correspondences(a, b, {(s["a"], s["b"]): s["share"] for s in got} if got is not None else {})
+            rows, of = [], {}
+            issues_ = [(list(ca), list(cb), {(s["a"], s["b"]): s["share"] for s in got} if got is not None else {}) for ca, cb, got in zip(pdf["ca"], pdf["cb"], pdf["shares"])]
+            for k, (a, b, _) in enumerate(issues_):
+                of[id(a)] = (pdf["earlier"].iloc[k], pdf["later"].iloc[k])
+            for a, b, pairs_ in all_correspondences(issues_):
                 in_a, in_b = {i for i, _ in pairs_}, {j for _, j in pairs_}
                 links = [(a[i], b[j]) for i, j in pairs_] + [(x, None) for i, x in enumerate(a) if i not in in_a] + [(None, y) for j, y in enumerate(b) if j not in in_b]
-                rows += [(earlier, later, *(p[k] if p is not None else None for p in (x, y) for k in ("idx", "label", "bare", "type"))) for x, y in links]
+                rows += [(*of[id(a)], *(p[k] if p is not None else None for p in (x, y) for k in ("idx", "label", "bare", "type"))) for x, y in links]
             yield pd.DataFrame(rows, columns=["earlier", "later", "a", "label_a", "bare_a", "type_a", "b", "label_b", "bare_b", "type_b"]).astype({"a": "Int32", "b": "Int32"})
 
     schema = "earlier bigint, later bigint, a int, label_a string, bare_a string, type_a string, b int, label_b string, bare_b string, type_b string"

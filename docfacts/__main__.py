@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from docfacts.config import EngineConfig
 from docfacts.functions.shipping import ship
-from docfacts.operators import readers, rules
+from docfacts.operators import guide, readers, rules
 from docfacts.plans import pipeline
 from docfacts.sources import files
 
@@ -45,7 +45,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "guides":
         raw = readers.read_grids(spark.read.parquet(args.source), code_anywhere=True)
         done = pipeline.read_guides(raw, use_model=config.use_model and not args.no_model, missing=args.missing or config.missing)
-        files.write_csv(done.table, f"{args.out}/csv")
+        ordered = done.rows.orderBy("doc_id", "page", "segment", "row_seq")
+        files.write_csv(guide.csv_table(ordered, args.missing or config.missing), f"{args.out}/csv")
         files.run_report(done.summaries, done.flags).write.mode("overwrite").json(f"{args.out}/report")
         n, bad = done.summaries.count(), done.flags.where("severity = 'error'").count()
     else:

@@ -71,6 +71,36 @@ def test_blocks_of_names_give_what_one_block_gives(spark):
     assert {r["entered"]: r["term_id"] for r in canon_map.map_values(values, terms, block=1).collect()} == one
 
 
+def test_bound_of_similarity_on_made_up_headings():
+    """Held-out accuracy: headings and edits of a generator that had no part in setting the bound."""
+    things = "Harbor Copper Walnut Meadow Lantern Saddle Turbine Orchard Pebble Violin Glacier Compass Marble Falcon Timber Canyon Ribbon Quartz Bramble Cottage".split()
+    kinds = "Repairs Rentals Storage Lessons Surveys Deliveries Polishing Auctions Permits Tours".split()
+    strange = "office memo invoice budget printer holiday picnic schedule agenda minutes draft archive parking kitchen elevator badge".split()
+    rng = random.Random(3)
+    names = [(i, f"{thing} {kinds[i % 10]}" if i % 2 else f"{thing} {things[(i + 7) % 20]} {kinds[i % 10]}") for i, thing in enumerate(things)]
+    index = canon_map.Names(names)
+
+    def typo(w):
+        k, c = rng.randrange(1, len(w)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + c + w[k:], w[:k] + c + w[k + 1 :], w[: k - 1] + w[k] + w[k - 1] + w[k + 1 :]])
+
+    def variant(text):
+        words = text.split()
+        edits = [
+            lambda: [*words[:-1], typo(words[-1])], lambda: [typo(w) for w in words], lambda: rng.sample(words, len(words)), lambda: [*words[:-1], words[-1][: max(4, len(words[-1]) - 3)]],
+            lambda: [w[0] + "".join(c for c in w[1:] if c not in "aeiou") for w in words], lambda: ["Sec. 4", *words, "(cont.)"],
+        ]
+        done = rng.choice(edits)()
+        return rng.choice([" ".join(done), " ".join(done).upper(), "_".join(done)])
+
+    entry = lambda v: index.entry(v, canon_map.LEAST_SIMILARITY)[2]
+    chosen = [rng.choice(names) for _ in range(1000)]
+    assert sum(entry(variant(t)) == i for i, t in chosen) >= 970
+    assert sum(entry(" ".join(rng.sample(strange, rng.randrange(1, 4)))) == -1 for _ in range(1000)) >= 990
+    half = [rng.choice([f"{rng.choice(things)} {rng.choice(strange)}", f"{rng.choice(strange)} {rng.choice(kinds)}"]) for _ in range(1000)]
+    assert sum(entry(v) == -1 for v in half) >= 900
+
+
 def test_distance_counts_swaps():
     def slow(a, b):
         d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}

@@ -43,10 +43,12 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/docfacts-{app}/{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     _WRITTEN.setdefault(app, []).append(path)
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:  # the path must exist to be marked
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop.getParent())
     return spark.read.schema(df.schema).parquet(path)
 
 

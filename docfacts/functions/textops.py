@@ -23,13 +23,24 @@ MAX_BYTES, MIN_CHARS, MIN_PRINTABLE = 2_000_000, 40, 0.85
 
 def fold(text: Column, compose: bool = True) -> Column:
     """Compatibility forms composed, dashes plain, soft hyphens and the two marks removed."""
-    text = nfkc(text) if compose else text
-    return F.translate(text, DASHES + "­" + OPEN + CLOSE, "-" * len(DASHES))
+    # Translating walks a text character by character with a look-up for each; ASCII text without marks has nothing to bring over.
+    return let(nfkc(text) if compose else text, lambda t: F.when((F.octet_length(t) == F.char_length(t)) & ~_marked(t), t).otherwise(F.translate(t, DASHES + "­" + OPEN + CLOSE, "-" * len(DASHES))))
+
+
+def _marked(text: Column) -> Column:
+    """Whether a text holds one of the two marks."""
+    return F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+
+
+def unmarked(text: Column) -> Column:
+    """A text without the two marks."""
+    return let(text, lambda t: F.when(_marked(t), F.translate(t, OPEN + CLOSE, "")).otherwise(t))
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space (the separators 0x1C-0x1F too) to one blank, without trimming."""
-    return F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " ")
+    # Single blanks, nearly all of the white space, stay as they are and are no matches.
+    return F.regexp_replace(text, r"(?U) [\s\x1C-\x1F]+|[\s\x1C-\x1F&&[^ ]][\s\x1C-\x1F]*", " ")
 
 
 def collapse(text: Column, compose: bool = True) -> Column:
@@ -74,7 +85,7 @@ def running(sizes: Column, block: int = 64) -> Column:
 
 def cut_at(text: Column, pattern: str) -> Column:
     """ARRAY<STRING>: the text cut before and after each match of a pattern; the 2nd, 4th ... piece are the matches, leftmost first and without overlap."""
-    return F.split(F.regexp_replace(F.translate(text, OPEN + CLOSE, ""), f"({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+    return F.split(F.regexp_replace(unmarked(text), f"({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
 
 
 def regex_scan(text: Column, pattern: str) -> Column:
@@ -104,8 +115,9 @@ def locate(flat: Column, quote: Column, window_start: Column, window_end: Column
     """
 
     def place(needle: Column) -> Column:
-        inside = F.instr(F.substring(flat, window_start + 1, window_end - window_start), needle)
-        at = let(inside, lambda i: F.when(i > 0, window_start + i).otherwise(F.instr(flat, needle)))
+        # A first place that doesn't begin before the window is the answer, inside or not; only for others the window is cut out.
+        inside = lambda first: let(F.instr(F.substring(flat, window_start + 1, window_end - window_start), needle), lambda i: F.when(i > 0, window_start + i).otherwise(first))
+        at = let(F.instr(flat, needle), lambda i: F.when((i == 0) | (i > window_start), i).otherwise(inside(i)))
         return let(at, lambda i: F.when((i > 0) & (needle != ""), F.struct((i - 1).cast("int").alias("start"), (i - 1 + F.char_length(needle)).cast("int").alias("end"))))
 
     return let(collapse(quote, compose=False), place)

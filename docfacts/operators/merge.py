@@ -28,7 +28,17 @@ def coerce(value: Column, allowed: list[str], otherwise: Column) -> Column:
 
 def evidence(quote: Column) -> Column:
     """A quote's place inside the package, else anywhere in the document, with its page; null if it isn't in the source."""
-    return X.let(X.locate(F.col("doc_flat"), quote, F.col("start"), F.col("end")), lambda at: F.when(at.isNotNull(), F.struct(X.collapse(quote, compose=False).alias("quote"), at["start"].alias("start"), at["end"].alias("end"), X.page_at(F.col("page_starts"), at["start"]).alias("page"))))
+    return X.let(_locate(quote), lambda at: F.when(at.isNotNull(), F.struct(X.collapse(quote, compose=False).alias("quote"), at["start"].alias("start"), at["end"].alias("end"), X.page_at(F.col("page_starts"), at["start"]).alias("page"))))
+
+
+def _locate(quote: Column) -> Column:
+    """X.locate of a quote in doc_flat between start and end, in whose place ``inside`` is, cut out once for all quotes of a package."""
+
+    def place(needle: Column) -> Column:
+        at = X.let(F.instr("inside", needle), lambda i: F.when(i > 0, F.col("start") + i).otherwise(F.instr("doc_flat", needle)))
+        return X.let(at, lambda i: F.when((i > 0) & (needle != ""), F.struct((i - 1).cast("int").alias("start"), (i - 1 + F.char_length(needle)).cast("int").alias("end"))))
+
+    return X.let(X.collapse(quote, compose=False), place)
 
 
 def cut_off(ev: Column) -> Column:
@@ -53,6 +63,7 @@ def _inputs(docs: DataFrame, blocks: DataFrame, candidates: DataFrame, replies:
     out = blocks.where("kind = 'package'").join(docs.select("doc_id", F.col("flat").alias("doc_flat"), "page_starts"), "doc_id")
     out = out.join(grouped, ["doc_id", "block_id"], "left").join(replies, ["doc_id", "block_id"], "left")
     empty = F.array().cast(grouped.schema["cands"].dataType)
+    out = out.withColumn("inside", F.substring("doc_flat", F.col("start") + 1, F.col("end") - F.col("start")))
     return out.withColumns({"cands": F.coalesce("cands", empty), "degraded": F.coalesce("degraded", F.lit(True))})
 
 

@@ -31,7 +31,8 @@ def page_lines(pages_: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     Folding is done once for each page, not for each line: it neither makes nor removes line ends. Carried columns stand in
     a page's first line."""
     split = pages_.withColumn("ls", X.lines(X.fold(F.col("body")))).withColumn("n", F.size("ls"))
-    rows = split.select("doc_id", "page_seq", "page", "n", *carry, F.posexplode("ls").alias("line_no", "line"))
+    # The outer form, without its empty row: for the inner one Spark infers a filter on the lines' number and folds every page for it once more.
+    rows = split.select("doc_id", "page_seq", "page", "n", *carry, F.posexplode_outer("ls").alias("line_no", "line")).where("line_no IS NOT NULL")
     zone = (F.col("line_no") < HEAD_LINES) | (F.col("line_no") >= F.col("n") - FOOT_LINES)
     return rows.select("doc_id", "page_seq", "page", "line_no", "line", F.regexp_replace(F.trim(X.squeeze(F.col("line"))), r"\d+", "#").alias("key"), zone.alias("in_zone"), *[F.when(F.col("line_no") == 0, F.col(c)).alias(c) for c in carry])
 

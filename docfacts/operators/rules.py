@@ -28,7 +28,7 @@ def evidence_nodes(packages: DataFrame, info: DataFrame | None = None) -> DataFr
 
     packages: rows of merge(). path is a JSON pointer by the package's place in its document; document fields have a null package.
     """
-    ordered = packages.withColumn("base", F.concat(F.lit("/packages/"), (F.col("block_seq") - F.min("block_seq").over(_by_doc())).cast("string")))
+    ordered = _pathed(packages)
     null = F.lit(None).cast("double")
 
     def node(kind: str, path: Column, x: Column, status: Column, amount: Column, percent: Column, confidence: Column) -> Column:
@@ -86,7 +86,8 @@ def numeric(grounded: DataFrame) -> DataFrame:
 
 
 def _pathed(packages: DataFrame) -> DataFrame:
-    return packages.withColumn("base", F.concat(F.lit("/packages/"), (F.col("block_seq") - F.min("block_seq").over(_by_doc())).cast("string")))
+    """packages with base, the pointer of a package; they may have it already."""
+    return packages if "base" in packages.columns else packages.withColumn("base", F.concat(F.lit("/packages/"), (F.col("block_seq") - F.min("block_seq").over(_by_doc())).cast("string")))
 
 
 def invariants(packages: DataFrame) -> DataFrame:
@@ -97,19 +98,24 @@ def invariants(packages: DataFrame) -> DataFrame:
     shares = p.select("doc_id", "base", F.posexplode("cost_share").alias("j", "s"))
     lacking = F.when((F.col("s.type") == "coinsurance") & F.col("s.percent").isNull(), "invariants.coinsurance_without_percent").when((F.col("s.type") == "copay") & F.col("s.amount_usd").isNull(), "invariants.copay_without_amount")
     out = out.unionByName(shares.where(lacking.isNotNull() & (F.col("s.status") == "found")).select(*_flag(lacking, "error", F.concat("base", F.lit("/cost_share/"), F.col("j").cast("string")))))
-    both = shares.select("doc_id", "base", "s.type", F.explode("s.service_ids").alias("sid")).groupBy("doc_id", "base", "sid").agg((F.max(F.col("type") == "copay") & F.max(F.col("type") == "coinsurance")).alias("clash")).where("clash")
+    of = lambda kind: F.array_distinct(F.flatten(F.transform(F.filter("cost_share", lambda s: s["type"] == kind), lambda s: F.coalesce(s["service_ids"], F.array().cast("array<string>")))))
+    both = p.select("doc_id", "base", F.explode(F.array_intersect(of("copay"), of("coinsurance"))).alias("sid"))
     return out.unionByName(both.select(*_flag("invariants.conflicting_cost_share", "error", "base")))
 
 
+def _strange(used: Column, own: Column) -> Column:
+    """The elements of a list that another lacks, repeats and nulls too; a null list has none."""
+    known = F.coalesce(own, F.array().cast("array<string>"))
+    return F.filter(used, lambda x: ~F.coalesce(F.array_contains(known, x), F.lit(False)))
+
+
 def references(packages: DataFrame) -> DataFrame:
-    """unknown_code, unknown_service (errors) by anti join with the package's own, code_without_description (warning)."""
+    """unknown_code, unknown_service (errors) against the package's own, inside its row, and code_without_description (warning)."""
     p = _pathed(packages)
-    used = p.select("doc_id", "base", F.posexplode("services").alias("j", "s")).select("doc_id", "base", "j", F.explode("s.codes").alias("code"))
-    own = p.select("doc_id", "base", F.explode("codes.code").alias("code"))
-    out = used.join(own, ["doc_id", "base", "code"], "left_anti").select(*_flag("references.unknown_code", "error", F.concat("base", F.lit("/services/"), F.col("j").cast("string"))))
-    named = p.select("doc_id", "base", F.posexplode("cost_share").alias("j", "s")).select("doc_id", "base", "j", F.explode("s.service_ids").alias("sid"))
-    services = p.select("doc_id", "base", F.explode("services.service_id").alias("sid"))
-    out = out.unionByName(named.join(services, ["doc_id", "base", "sid"], "left_anti").select(*_flag("references.unknown_service", "error", F.concat("base", F.lit("/cost_share/"), F.col("j").cast("string")))))
+    used = p.select("doc_id", "base", F.posexplode("services").alias("j", "s"), F.col("codes.code").alias("own")).select("doc_id", "base", "j", F.explode(_strange(F.col("s.codes"), F.col("own"))).alias("code"))
+    out = used.select(*_flag("references.unknown_code", "error", F.concat("base", F.lit("/services/"), F.col("j").cast("string"))))
+    named = p.select("doc_id", "base", F.posexplode("cost_share").alias("j", "s"), F.col("services.service_id").alias("own")).select("doc_id", "base", "j", F.explode(_strange(F.col("s.service_ids"), F.col("own"))).alias("sid"))
+    out = out.unionByName(named.select(*_flag("references.unknown_service", "error", F.concat("base", F.lit("/cost_share/"), F.col("j").cast("string")))))
     bare = p.select("doc_id", "base", F.posexplode("codes").alias("j", "c")).where("c.description IS NULL")
     return out.unionByName(bare.select(*_flag("references.code_without_description", "warn", F.concat("base", F.lit("/codes/"), F.col("j").cast("string")))))
 
@@ -141,7 +147,8 @@ RULES: list[tuple[str, Callable[[DataFrame, DataFrame, DataFrame | None], DataFr
 def validate(docs: DataFrame, packages: DataFrame, info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(flags, metrics): all flags of RULES and of documents without packages; and for each document fields_total,
     fields_grounded (quotes anywhere in the document), fields_null, groundedness_rate (4 places, half to even), passed, needs_review."""
-    packages, docs = durable(packages), durable(docs.select("doc_id", "flat"))
+    # Pointers and the header's facts are worked out once: nearly every rule needs them.
+    packages, docs, info = durable(_pathed(packages)), durable(docs.select("doc_id", "flat")), None if info is None else durable(info)
     nodes = durable(ground(evidence_nodes(packages, info), docs))
     flags = no_packages(docs, packages)
     for _, rule in RULES:

@@ -106,3 +106,24 @@ def test_columns_of_interleaved_lines(spark):
 def test_empty_input_gives_empty_results(spark):
     done = pipeline.extract(spark.createDataFrame([], "doc_id long, raw string"))
     assert done.packages.count() == 0 and done.validate()[0].count() == 0
+
+
+def test_work_of_the_path_is_planned_once(spark, done):
+    """Pages are folded once; flags join only documents with packages, and no rule makes the pointers again."""
+    from docfacts.operators import normalize
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(normalize.normalize(spark.createDataFrame([(1, DOC)], "doc_id long, raw string"))).count("ArrowEvalPython") == 1
+    flags = plan(done.validate()[0])
+    assert flags.count("Join") == 1 and "Window" not in flags
+
+
+def test_references_and_clashes_of_packages(spark):
+    share, kinds = "struct<type:string,amount_usd:double,percent:double,status:string,service_ids:array<string>>", "doc_id long, block_seq int, premium struct<status:string>, exclusions array<string>, codes array<struct<code:string,description:string>>, services array<struct<service_id:string,codes:array<string>>>, cost_share array<"
+    codes, services = [("D1", "one"), ("D2", None)], [("a", ["D1", "D3", "D3"]), ("b", ["D2", None]), ("c", None)]
+    shares = [("copay", 1.0, None, "found", ["a", "b", "z"]), ("coinsurance", None, 1.0, "found", ["b", "a", "a"]), (None, None, None, "found", None), ("coinsurance", None, None, "found", ["c"])]
+    rows = [(1, 4, ("found",), ["x"], codes, services, shares), (1, 6, ("not_stated",), [], [], [], []), (2, 1, ("found",), ["x"], [("D3", "three")], [("a", ["D3"])], [("copay", None, None, "found", ["a", "a"])])]
+    packages = spark.createDataFrame(rows, kinds + share + ">")
+    got = lambda df: sorted((r["doc_id"], r["rule"].split(".")[1], r["path"].removeprefix("/packages")) for r in df.collect())
+    assert got(rules.references(packages)) == [(1, "code_without_description", "/0/codes/1"), (1, "unknown_code", "/0/services/0"), (1, "unknown_code", "/0/services/0"), (1, "unknown_code", "/0/services/1"), (1, "unknown_service", "/0/cost_share/0")]
+    assert got(rules.invariants(packages)) == [(1, "coinsurance_without_percent", "/0/cost_share/3"), (1, "conflicting_cost_share", "/0"), (1, "conflicting_cost_share", "/0"), (1, "exclusions_not_stated", "/2/exclusions"), (1, "premium_missing", "/2/premium"), (2, "copay_without_amount", "/0/cost_share/0")]

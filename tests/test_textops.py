@@ -62,3 +62,15 @@ def test_running_sums_and_many_matches(spark):
     text = "ab $5 €d. " * 20_000
     found = spark.createDataFrame([(text,), ("",), (None,), ("x",)], "t string").select(X.regex_scan(F.col("t"), r"\$\d").alias("m")).collect()
     assert len(found[0]["m"]) == 20_000 and found[0]["m"][-1]["start"] == len(text) - 7 and [r["m"] for r in found[1:]] == [[], None, []]
+
+
+def test_squeeze_folding_and_places_against_plain_python(spark):
+    texts = ["a b  c", " \t a\t b\n", "\x1c \x1d", "\u2003\u00a0x \u2003", "a\x01b\x02 \u2013 \u00ad", "plain", "", None, "  ", "a \u0085 b"]
+    for t, flat, folded in zip(texts, values(spark, texts, X.squeeze(F.col("t"))), values(spark, texts, X.fold(F.col("t"), compose=False))):
+        assert flat == (None if t is None else re.sub(r"[\s\x1c-\x1f]+", " ", t)), repr(t)
+        assert folded == (None if t is None else re.sub("[\x01\x02\u00ad]", "", t.replace("\u2013", "-"))), repr(t)
+    cases = [("ab ab ab", "ab", a, b) for a in range(9) for b in range(a, 9)] + [("éab ab", q, 2, 6) for q in ("ab", "é", "", "zz", "b ab")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, f string, q string, a int, b int")
+    got = [r[0] and r[0]["start"] for r in df.orderBy("i").select(X.locate(F.col("f"), F.col("q"), F.col("a"), F.col("b"))).collect()]
+    place = lambda f, q, a, b: None if not q or q not in f else f.find(q, a, b) if f.find(q, a, b) >= 0 else f.find(q)
+    assert got == [place(*c) for c in cases]
